@@ -112,7 +112,7 @@ def near_duplicates(
     )
     shared = materialise(prefix_postings(reps, coordinates, matches))
     active = shared.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialise(full_sets(texts.join(active, "doc_id", "left_semi"), shingle))
+    sets = materialise(full_sets(texts.join(active.hint("merge"), "doc_id", "left_semi"), shingle))
     found = _links(shared, reps, sets, matches, percent)
     parts = components(found)
     groups = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"), "rep", "copies").where("copies > 1 or component <> rep").drop("rep", "copies")
