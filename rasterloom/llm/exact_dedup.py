@@ -132,8 +132,9 @@ def exact_dedup(docs: DataFrame, snapshot: DataFrame | None = None, *, id_col: s
     the other the incoming batch. The batch's own duplicates are grouped first. Its distinct digests
     are screened by the snapshot's filters (one for about KEYS_PER_FILTER digests, so that their
     number grows and not their size); only positives are joined with the snapshot's exact buckets.
-    Then every row whose digest has others is compared byte by byte with the text of the row that
-    stays; rows that differ are grouped by their texts. Rows meet their groups in sort-merge joins,
+    Then the texts of rows whose digest has others are compared byte by byte, combined before the
+    shuffle; should they differ, rows are grouped by their texts. Texts meet digests in a sort-merge
+    join at every size, which shuffles them once. Rows meet their groups in sort-merge joins,
     whose hot keys AQE splits.
 
     A null text is an empty one. A null doc_id stays only if its group has no other; rows that
@@ -176,12 +177,11 @@ def _texts(batches):
 
 
 def _unequal(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
-    """None if all texts of each group equal the text that stays, byte by byte; else new groups (digest, doc_id, keep_id, group_size) by text."""
+    """None if the texts of each group are equal byte by byte; else new groups (digest, doc_id, keep_id, group_size) by text."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_texts, f"digest binary, doc_id {kind}, text string")
-    members = materialise(texts.join(groups, "digest"))
-    stays = members.where("doc_id <=> keep_id").groupBy("digest").agg(F.max("text").alias("stays"))
-    odd = members.join(stays, "digest").where("text <> stays").select("digest").distinct()
+    members = materialise(texts.join(groups.hint("merge"), "digest"))
+    odd = members.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high")
     if odd.isEmpty():
         return None
     split = members.groupBy("digest", "text").agg(F.max("doc_id").alias("own"), F.count("*").alias("n"))
