@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash_dedup, mixing
+from . import chat_format, exact_dedup, licence_scan, minhash_dedup, mixing
 
 QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_minhash_near_dedup": minhash_dedup.op4_minhash_near_dedup,
+    "op6_chat_format": chat_format.op6_chat_format,
+    "op8_licence_scan": licence_scan.op8_licence_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLES = {
     "op3_mix_sources": mixing.ORACLE_SQL,
+    "op6_chat_format": chat_format.ORACLE_SQL,
+    "op8_licence_scan": licence_scan.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
