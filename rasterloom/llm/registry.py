@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, licence_scan, minhash_dedup, mixing
+from . import chat_format, exact_dedup, licence_scan, minhash_dedup, mixing, packing, substring_dedup, toxicity
 
 QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_minhash_near_dedup": minhash_dedup.op4_minhash_near_dedup,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_licence_scan": licence_scan.op8_licence_scan,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
