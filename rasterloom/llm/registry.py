@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, licence_scan, minhash_dedup, mixing, packing, substring_dedup, toxicity
+from . import ann_search, chat_format, exact_dedup, html_extract, licence_scan, minhash_dedup, mixing, packing, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_html_extract": html_extract.op1_html_extract,
+    "op2_ann_search": ann_search.op2_ann_search,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_minhash_near_dedup": minhash_dedup.op4_minhash_near_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
