@@ -12,8 +12,8 @@ from .kernels import WordHasher, coordinate_keys, shingle_sets, signature
 
 #: A pair at similarity 0.8 shares 25.6 of 32 coordinates on average, fewer than 14 once in a million pairs.
 COORDINATES, MATCHES = 32, 14
-#: Star rounds go on while the open candidate pairs are more than so many times the postings, and end after so many.
-ALL_PAIRS, STAR_ROUNDS = 2, 12
+#: How often a document passes on to its anchor's own anchor.
+JUMPS = 2
 
 
 def _texts(batch) -> list[bytes]:
@@ -61,29 +61,31 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def prefix_postings(reps: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """The postings (coord, value, rep) that any pair with at least `matches` equal coordinates must meet in.
+    """The postings (key, rep, fame) that any pair with at least `matches` equal coordinates must meet in.
 
     Each document orders its coordinate-value pairs from rare to frequent lists (ties by coordinate)
     and posts the first coordinates - matches + 1; the rest, the long lists, are skipped. Lists
     of one document give nothing, and they come first in that order, so that a document with s
-    shared lists posts s - matches + 1 of them and one with fewer than `matches` drops out.
+    shared lists posts s - matches + 1 of them and one with fewer than `matches` drops out. key is a
+    hash of coordinate and value; fame, the length of all of its lists, is largest for the
+    document that a family of copies comes from.
     """
-    postings = reps.select("rep", F.posexplode("sig").alias("coord", "value"))
-    lists = postings.groupBy("coord", "value").agg(F.count("*").alias("df")).where("df > 1")
-    shared = postings.join(lists, ["coord", "value"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "coord", "value"))).alias("p"))
-    shared = shared.where(F.size("p") >= matches).select("rep", F.explode(F.slice("p", 1, F.size("p") - matches + 1)).alias("p"))
-    return shared.select("p.coord", "p.value", "rep")
-
-
-def _confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """pairs (a, b) with ok: enough equal coordinates, and percent of the union of the full sets in common."""
-    a = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-    b = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
-    equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(a, "a").join(b, "b").where("100 * least(na, nb) >= %d * greatest(na, nb)" % percent).where(equal >= matches).select("a", "b", "na", "nb")
-    near = near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("xb")), "b")
+    postings = reps.select("rep", F.posexplode("sig").alias("coord", "value")).select("rep", F.xxhash64("coord", "value").alias("key"))
+    lists = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    shared = postings.join(lists, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("p"), F.sum("df").alias("fame"))
+    shared = shared.where(F.size("p") >= matches).select("rep", "fame", F.explode(F.slice("p", 1, F.size("p") - matches + 1)).alias("p"))
+    return shared.select("p.key", "rep", "fame")
+
+
+def _equal(a: str, b: str) -> F.Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have percent of their union in common."""
+    near = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("xb")), "b")
     both = F.size(F.array_intersect("xa", "xb")).cast("long")
-    return near.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    return near.where(100 * both >= percent * (F.size("xa") + F.size("xb") - both)).select("a", "b")
 
 
 def near_duplicates(
@@ -94,10 +96,10 @@ def near_duplicates(
 
     Returns a row for each row of docs: (doc_id, n_shingles, component_id, kept). Rows of equal
     shingle sets first collapse to one, that of the least doc_id. The rest post their rare
-    coordinates (prefix_postings). Inside a list not all pairs are made: in star rounds each document
-    meets one document of its list (of another component), links are confirmed on full sets and
-    components joined; lists within one component are done. What is left after the rounds, pairs of
-    a list across components, is joined in full, so no candidate goes untested.
+    coordinates (prefix_postings). Lists of a large family of copies would make all of its pairs, so
+    each document takes as its anchor the one with most company that it meets. Documents of one
+    anchor are linked by their differences from it (_family_links), exactly; pairs of a list with
+    different anchors are kept from `matches` equal coordinates on and confirmed on full sets.
 
     A text with fewer words than a shingle has its whole sequence as its one shingle; a null,
     empty or blank text has none and is linked with nothing. Rows with a null doc_id are linked with
@@ -113,43 +115,78 @@ def near_duplicates(
     shared = materialise(prefix_postings(reps, coordinates, matches))
     active = shared.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialise(full_sets(texts.join(active.hint("merge"), "doc_id", "left_semi"), shingle))
-    found = _links(shared, reps, sets, matches, percent)
-    parts = components(found)
+    anchors = _anchors(shared)
+    family = materialise(_family_links(anchors, sets, percent))
+    others = materialise(_other_pairs(shared, anchors, reps, matches, percent))
+    parts = components(family.unionByName(_confirm(others, sets, percent)))
     groups = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"), "rep", "copies").where("copies > 1 or component <> rep").drop("rep", "copies")
     out = rows.select("doc_id", *key).join(groups, key, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def _links(shared: DataFrame, reps: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that join all documents whose candidate pairs pass."""
-    links = tested = None
-    placed, rows, turn = shared.withColumn("part", F.col("rep")), shared.count(), 0
-    while True:
-        lists = placed.groupBy("coord", "value").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by(F.struct("rep", "part"), F.struct(F.xxhash64("part", F.lit(turn)), "rep")).alias("hub")).where("low <> high")
-        open_rows = materialise(placed.join(lists.select("coord", "value", "hub"), ["coord", "value"]))
-        by_part = open_rows.groupBy("coord", "value", "part").agg(F.count("*").cast("double").alias("n"))
-        across = by_part.groupBy("coord", "value").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
-        if not across:
-            return links if links is not None else shared.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-        last = across <= ALL_PAIRS * rows or turn >= STAR_ROUNDS
-        if last:
-            x, y = open_rows.alias("x"), open_rows.alias("y")
-            pairs = x.join(y, (F.col("x.coord") == F.col("y.coord")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        else:
-            pairs = open_rows.where("part <> hub.part").select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = materialise(_confirm(pairs, reps, sets, matches, percent))
-        links = new if links is None else links.unionByName(new)
-        if last:
-            return links
-        parts = components(links).withColumnRenamed("node", "rep")
-        placed = shared.join(parts, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-        turn += 1
+def _anchors(shared: DataFrame) -> DataFrame:
+    """(rep, anchor): the document with most company among those that rep meets in its lists, then that one's anchor in turn."""
+    tops = shared.groupBy("key").agg(F.max(F.struct("fame", (-F.col("rep")).alias("rep"))).alias("top"))
+    own = materialise(shared.join(tops, "key").groupBy("rep").agg((-F.max("top").getField("rep")).alias("anchor")))
+    out = own
+    for _ in range(JUMPS):
+        out = out.join(own.select(F.col("rep").alias("anchor"), F.col("anchor").alias("next")), "anchor").select("rep", F.col("next").alias("anchor"))
+    return materialise(out)
+
+
+def _family_links(anchors: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) between documents of one anchor, exactly, without making all pairs of a family.
+
+    A document is told by its delta d, the symmetric difference from its anchor h. With s = |x| + |y| and
+    p the percentage, x and y are linked when (100 + p) |x ^ y| <= (100 - p) s, and |x ^ y| = |dx| + |dy| - 2 |dx & dy|.
+    Documents near h (linked with it) need no pairs among themselves. If x is not near h, then any y
+    linked with x shares more than p / (100 + p) of dy with dx, so y must have one of dx among the
+    rarest |dy| - floor(p |dy| / (100 + p)) elements of dy. If y is not near h either, the same holds for x.
+    Only these prefixes meet, by anchor and element, and the join itself tests the inequality.
+    """
+    x = anchors.join(sets, "rep").withColumnRenamed("shingles", "xs")
+    h = sets.select(F.col("rep").alias("anchor"), F.col("shingles").alias("hs"))
+    delta = materialise(
+        x.join(h, "anchor").select("anchor", "rep", F.size("xs").alias("n"), F.size("hs").alias("nh"), F.concat(F.array_except("xs", "hs"), F.array_except("hs", "xs")).alias("d"))
+    ).where(F.size("d") > 0).withColumn("near", (100 + percent) * F.size("d") <= (100 - percent) * (F.col("n") + F.col("nh")))
+    items = delta.select("anchor", "rep", F.explode("d").alias("e"))
+    often = items.groupBy("anchor", "e").agg(F.count("*").alias("df")).where("df > 1")
+    common = items.join(often, ["anchor", "e"]).groupBy("anchor", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("c"))
+    rows = delta.join(common, ["anchor", "rep"]).select("anchor", "rep", "n", "near", F.size("d").alias("size"), F.transform("c", lambda c: c.e).alias("c"))
+    # Elements of one document come first in the order from rare to frequent and meet nothing.
+    head = F.col("size") - F.floor(percent * F.col("size") / (100 + percent)) - (F.col("size") - F.size("c"))
+    rows = materialise(rows.withColumn("head", F.greatest(F.lit(0), F.least(head, F.size("c"))).cast("int")))
+    far = rows.where("not near")
+    posted = rows.where("head > 0").select("*", F.explode(F.slice("c", F.lit(1), F.col("head"))).alias("e")).alias("y")
+    asked = far.select("*", F.posexplode("c").alias("place", "e")).alias("x")
+    s, gap = F.col("x.n") + F.col("y.n"), F.col("x.size") + F.col("y.size")
+    linked = (
+        (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.rep") != F.col("y.rep"))
+        & (F.col("y.near") | (F.col("x.rep") < F.col("y.rep")) & (F.col("x.place") < F.col("x.head")))
+        & ((100 + percent) * F.abs(F.col("x.size") - F.col("y.size")) <= (100 - percent) * s)
+        & ((100 + percent) * (gap - 2 * F.size(F.array_intersect("x.c", "y.c"))) <= (100 - percent) * s)
+    )
+    met = asked.join(posted.hint("merge"), linked).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    return delta.where("near").select(F.col("rep").alias("a"), F.col("anchor").alias("b")).unionByName(met).distinct()
+
+
+def _other_pairs(shared: DataFrame, anchors: DataFrame, reps: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents of different anchors that meet in a list, similar enough in size and signature.
+
+    A pair is made in one list only, the least key that both have; the join drops the rest itself.
+    """
+    placed = shared.join(anchors, "rep")
+    mixed = placed.groupBy("key").agg(F.min("anchor").alias("low"), F.max("anchor").alias("high")).where("low <> high").select("key")
+    keys = placed.join(mixed, "key").groupBy("rep", "anchor").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    full = materialise(keys.join(reps.select("rep", "n_shingles", "sig"), "rep"))
+    x, y = (full.select("*", F.explode("keys").alias("key")).alias(name) for name in "xy")
+    meet = (
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.anchor") != F.col("y.anchor"))
+        & (100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles"))
+        & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")) & (_equal("x.sig", "y.sig") >= matches)
+    )
+    return x.join(y.hint("merge"), meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
