@@ -1,0 +1,97 @@
+"""Background, product and shadow of product pictures."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.color import d, distance, saturation
+from ..scratch import materialise
+from .regions import component_stats, components
+
+# Thresholds of the rules.
+BACKGROUND_DISTANCE, SPECK_SHARE, GRAY, LOW_CENTRE, WIDER = 15.0, 0.0006, 0.18, 0.7, 1.1
+
+
+def background_color(px: DataFrame) -> DataFrame:
+    """(image_id, bg_r, bg_g, bg_b): mean of six fixed pixels near corners and edges; pixels that coincide count each time.
+
+    Samples outside a tiny picture are left out; a picture without any has a null colour and so no background.
+    """
+    x, y, w, h = (F.col(c) for c in "xywh")
+    spots = [(F.lit(1), F.lit(1)), (w - 2, F.lit(1)), (F.lit(1), h - 2), (w - 2, h - 2), (F.floor(w / 2), F.lit(1)), (F.lit(1), F.floor(h / 2))]
+    times = sum((((x == a) & (y == b)).cast("int") for a, b in spots), F.lit(0))
+    hit = px.withColumn("_t", times).where("_t > 0").groupBy("image_id")
+    return hit.agg(*(((F.sum(F.col(c) * F.col("_t"))) / F.sum("_t")).alias(f"bg_{c}") for c in "rgb"))
+
+
+def mark_background(px: DataFrame) -> DataFrame:
+    """Adds is_background: pixels near the background colour whose region touches the border."""
+    px = px.join(background_color(px), "image_id")
+    near = distance(*((F.col(c).cast("double"), F.col(f"bg_{c}")) for c in "rgb")) < BACKGROUND_DISTANCE
+    px = components(px, near, "_bg").drop("bg_r", "bg_g", "bg_b")
+    border = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.col("w") - 1) | (F.col("y") == F.col("h") - 1)
+    touches = F.max(border).over(Window.partitionBy("image_id", "_bg"))
+    return px.withColumn("is_background", F.col("_bg").isNotNull() & touches).drop("_bg")
+
+
+def foreground_regions(px: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(px with fg_comp, regions): regions of the foreground with their class product, shadow or speck.
+
+    The largest region is the product (ties to the first in scan order); a grayish one whose middle is low in
+    the picture is shadow; specks are neither; the others are product too.
+    """
+    px = components(px, ~F.col("is_background"), "fg_comp")
+    stats = component_stats(px, "fg_comp", F.avg(saturation()).alias("mean_saturation"), F.first("w").alias("w"), F.first("h").alias("h"))
+    rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("n"), "fg_comp"))
+    centre = (F.col("min_y") + F.col("max_y")) / 2.0
+    kind = (
+        F.when(rank == 1, "product")
+        .when(F.col("n") < F.col("w") * F.col("h") * d(SPECK_SHARE), "speck")
+        .when((F.col("mean_saturation") < GRAY) & (centre > F.col("h") / 2.0 * LOW_CENTRE), "shadow")
+        .otherwise("product")
+    )
+    return px, stats.withColumn("kind", kind).drop("w", "h")
+
+
+def split_shadow(px: DataFrame) -> DataFrame:
+    """Adds is_product and is_shadow by region, before any carving."""
+    px, regions = foreground_regions(px)
+    px = px.join(regions.select("image_id", "fg_comp", "kind"), ["image_id", "fg_comp"], "left")
+    return px.withColumn("is_product", F.coalesce(F.col("kind") == "product", F.lit(False))).withColumn("is_shadow", F.coalesce(F.col("kind") == "shadow", F.lit(False))).drop("kind", "fg_comp")
+
+
+def row_extents(px: DataFrame, mark: str = "is_product") -> DataFrame:
+    """(image_id, h, y, row_min, row_max) of rows with marked pixels."""
+    return px.where(F.col(mark)).groupBy("image_id", "h", "y").agg(F.min("x").alias("row_min"), F.max("x").alias("row_max"))
+
+
+def median_width(rows: DataFrame) -> DataFrame:
+    """(image_id, median_width, last_row): upper median of row widths between 15 % and 70 % of the height, and the last row with content."""
+    body = (F.col("y") >= F.floor(F.col("h") * 0.15)) & (F.col("y") < F.floor(F.col("h") * 0.7))
+    widths = F.array_sort(F.collect_list(F.when(body, F.col("row_max") - F.col("row_min"))))
+    return rows.groupBy("image_id").agg(widths.alias("v"), F.max("y").alias("last_row")).select("image_id", F.get("v", F.floor(F.size("v") / 2).cast("int")).alias("median_width"), "last_row")
+
+
+def carve_shadow(px: DataFrame, remove_shadow: bool = False) -> DataFrame:
+    """Grayish pixels at the ends of rows in the lower part that are wider than the body leave the product for the shadow.
+
+    The rule looks at all pixels between a row's ends, so background gaps inside may become shadow too.
+    """
+    px = materialise(px)
+    rows = row_extents(px)
+    wide = rows.join(median_width(rows), "image_id").where(F.col("median_width") > 0)
+    limit, width = F.col("median_width") * WIDER, F.col("row_max") - F.col("row_min")
+    wide = wide.where((F.col("y") >= F.floor(F.col("h") * 0.55)) & (width > limit)).select("image_id", "y", "row_min", "row_max", ((width - limit) / 2.0).alias("excess"))
+    px = px.join(wide, ["image_id", "y"], "left")
+    inside = F.col("x").between(F.col("row_min"), F.col("row_max"))
+    edge = F.least(F.col("x") - F.col("row_min"), F.col("row_max") - F.col("x"))
+    carved = F.coalesce(inside & (edge <= F.col("excess")) & (saturation() < GRAY), F.lit(False))
+    px = px.withColumn("_carved", carved)
+    shadow = F.col("is_shadow") | F.col("_carved") if not remove_shadow else F.lit(False)
+    return px.withColumn("is_product", F.col("is_product") & ~F.col("_carved")).withColumn("is_shadow", shadow).drop("_carved", "row_min", "row_max", "excess")
+
+
+def preprocess(px: DataFrame, remove_shadow: bool = False) -> DataFrame:
+    """Pixels with is_background, is_product and is_shadow."""
+    return carve_shadow(split_shadow(mark_background(px)), remove_shadow)

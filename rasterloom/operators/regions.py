@@ -1,0 +1,137 @@
+"""Stencils, distances and connected regions over dense pixel tables (image_id, w, h, x, y, idx, ...)."""
+
+from __future__ import annotations
+
+from itertools import chain
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
+
+from ..scratch import materialise
+
+
+def row() -> WindowSpec:
+    return Window.partitionBy("image_id", "y").orderBy("x")
+
+
+def column() -> WindowSpec:
+    return Window.partitionBy("image_id", "x").orderBy("y")
+
+
+def _box(px: DataFrame, name: str, radius: int, pick) -> DataFrame:
+    """A square window, one pass by rows and one by columns, clipped at the border."""
+    if radius <= 0:
+        return px
+    for w in (row(), column()):
+        px = px.withColumn(name, pick(F.col(name)).over(w.rowsBetween(-radius, radius)))
+    return px
+
+
+def erode(px: DataFrame, name: str, radius: int) -> DataFrame:
+    """The boolean column name stays true where its whole window is; a radius of 0 or less changes nothing."""
+    return _box(px, name, radius, F.min)
+
+
+def dilate(px: DataFrame, name: str, radius: int) -> DataFrame:
+    return _box(px, name, radius, F.max)
+
+
+def opening(px: DataFrame, name: str, radius: int) -> DataFrame:
+    return dilate(erode(px, name, radius), name, radius)
+
+
+def distance_l1(px: DataFrame, name: str, out: str = "dist") -> DataFrame:
+    """Steps to the nearest pixel without the mark name, -1 if an image has none; the border is no such pixel.
+
+    Two separable passes of running minima: along rows, then of row distances along columns.
+    """
+    far = F.lit(1 << 29)
+    zero = ~F.col(name)
+    up, down = Window.unboundedPreceding, Window.unboundedFollowing
+    left = F.col("x") - F.max(F.when(zero, F.col("x"))).over(row().rowsBetween(up, 0))
+    right = F.min(F.when(zero, F.col("x"))).over(row().rowsBetween(0, down)) - F.col("x")
+    px = px.withColumn("_row", F.least(F.coalesce(left, far), F.coalesce(right, far)))
+    above = F.col("y") + F.min(F.col("_row") - F.col("y")).over(column().rowsBetween(up, 0))
+    below = F.min(F.col("_row") + F.col("y")).over(column().rowsBetween(0, down)) - F.col("y")
+    px = px.withColumn("_dist", F.least(above, below))
+    return px.withColumn(out, F.when(F.col("_dist") >= (1 << 28), F.lit(-1)).otherwise(F.col("_dist")).cast("int")).drop("_row", "_dist")
+
+
+def with_neighbours(px: DataFrame, name: str, corners: bool = True, edge=None) -> DataFrame:
+    """Adds n_, s_, w_, e_ and, with corners, nw_, ne_, sw_, se_ : name of the neighbours, edge past the border."""
+    px = px.withColumn("n_", F.lag(name, 1, edge).over(column())).withColumn("s_", F.lead(name, 1, edge).over(column()))
+    for mid, west, east in [(name, "w_", "e_")] + ([("n_", "nw_", "ne_"), ("s_", "sw_", "se_")] if corners else []):
+        px = px.withColumn(west, F.lag(mid, 1, edge).over(row())).withColumn(east, F.lead(mid, 1, edge).over(row()))
+    return px
+
+
+def median3(px: DataFrame, name: str) -> DataFrame:
+    """The median of each 3 x 3 neighbourhood, the border repeated."""
+    px = px.withColumn("_n", F.coalesce(F.lag(name).over(column()), name)).withColumn("_s", F.coalesce(F.lead(name).over(column()), name))
+    cells = [F.coalesce(c, F.col(m)) for m in ("_n", name, "_s") for c in (F.lag(m).over(row()), F.col(m), F.lead(m).over(row()))]
+    return px.withColumn(name, F.get(F.array_sort(F.array(*cells)), F.lit(4))).drop("_n", "_s")
+
+
+def _join_runs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Union-find over the runs of one image that touch between neighbouring rows."""
+    pdf = pdf.sort_values(["y", "xs"], ignore_index=True)
+    parent = list(range(len(pdf)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    y, xs, xe = (pdf[c].to_numpy() for c in ("y", "xs", "xe"))
+    above = 0
+    for i in range(len(pdf)):
+        while above < i and (y[above] < y[i] - 1 or y[above] == y[i] - 1 and xe[above] < xs[i]):
+            above += 1
+        k = above
+        while k < i and y[k] == y[i] - 1 and xs[k] <= xe[i]:
+            a, b = find(k), find(i)
+            parent[max(a, b)] = min(a, b)
+            k += 1
+    first = pdf["first"].to_numpy()
+    return pdf[["image_id", "y", "run"]].assign(comp=[first[find(i)] for i in range(len(pdf))])
+
+
+def components(px: DataFrame, mark: Column, out: str = "comp") -> DataFrame:
+    """Adds out: for marked pixels the least idx of their 4-connected region, else null.
+
+    Pixels of a row become runs (gaps and islands); only runs, far fewer than pixels, go to the one
+    ordered step, union-find by image. Regions come back by an equi-join on (image_id, y, run); the
+    pixels are written in between, so that the two readings do not compute them twice.
+    """
+    px = px.withColumn("_mark", F.coalesce(mark, F.lit(False)))
+    px = px.withColumn("run", F.col("x") - F.row_number().over(Window.partitionBy("image_id", "y", "_mark").orderBy("x")))
+    px = materialise(px)
+    runs = px.where("_mark").groupBy("image_id", "y", "run").agg(F.min("x").alias("xs"), F.max("x").alias("xe"), F.min("idx").alias("first"))
+    joined = runs.groupBy("image_id").applyInPandas(_join_runs, "image_id long, y int, run int, comp long").withColumn("_mark", F.lit(True))
+    return px.join(joined.withColumnRenamed("comp", out), ["image_id", "y", "run", "_mark"], "left").drop("_mark", "run")
+
+
+def component_stats(px: DataFrame, comp: str = "comp", *more: Column) -> DataFrame:
+    """Count, bounding box and border contact of each region, numbered in scan order."""
+    border = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.col("w") - 1) | (F.col("y") == F.col("h") - 1)
+    stats = px.where(F.col(comp).isNotNull()).groupBy("image_id", comp).agg(
+        F.count("*").alias("n"), F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"),
+        F.bool_or(border).alias("touches_border"), *more,
+    )
+    return stats.withColumn("number", (F.row_number().over(Window.partitionBy("image_id").orderBy(comp)) - 1).cast("int"))
+
+
+def thin_pass(px: DataFrame, name: str, step: int) -> DataFrame:
+    """One pass of thinning: marked inner pixels that the step's rule deletes all lose the mark at once."""
+    px = with_neighbours(px.withColumn(name, F.col(name).cast("int")), name, True, 0)
+    ring = [F.col(c) for c in ("n_", "ne_", "e_", "se_", "s_", "sw_", "w_", "nw_")]
+    n, e, s, w = ring[0], ring[2], ring[4], ring[6]
+    total = sum(ring[1:], ring[0])
+    turns = sum((((a == 0) & (b == 1)).cast("int") for a, b in zip(ring, chain(ring[1:], ring[:1]))), F.lit(0))
+    rule = (n * e * s == 0) & (e * s * w == 0) if step == 0 else (n * e * w == 0) & (n * s * w == 0)
+    inner = F.col("x").between(1, F.col("w") - 2) & F.col("y").between(1, F.col("h") - 2)
+    gone = inner & total.between(2, 6) & (turns == 1) & rule
+    return px.withColumn(name, (F.col(name) == 1) & ~gone).drop("n_", "ne_", "e_", "se_", "s_", "sw_", "w_", "nw_")

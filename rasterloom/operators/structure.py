@@ -1,0 +1,53 @@
+"""Hairlines and the classes of white regions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.color import d, round_half_up
+from .regions import component_stats, components, distance_l1, opening
+
+
+def hairlines(px: DataFrame, name: str, radius: int) -> DataFrame:
+    """Adds hairline: marked pixels that an opening with the radius removes."""
+    px = opening(px.withColumn("_open", F.col(name)), "_open", radius)
+    return px.withColumn("hairline", F.col(name) & ~F.col("_open")).drop("_open")
+
+
+def line_radius_px(height: Column, option: Column) -> Column:
+    return F.greatest(F.lit(1), round_half_up(F.coalesce(option, height * 0.006)))
+
+
+def thickness(px: DataFrame, mark: str) -> DataFrame:
+    """Regions of marked pixels with p70 and max_dist of the steps to the nearest unmarked pixel."""
+    px = distance_l1(components(px, F.col(mark), "comp"), mark)
+    ordered = F.array_sort(F.collect_list("dist"))
+    return component_stats(px, "comp", ordered.alias("_d"), F.first("w").alias("w"), F.first("h").alias("h")).select(
+        "*", F.element_at("_d", (F.floor(F.size("_d") * d(0.7)) + 1).cast("int")).alias("p70"), F.element_at("_d", -1).alias("max_dist")
+    ).drop("_d")
+
+
+def product_extent(px: DataFrame) -> DataFrame:
+    """(image_id, min_y, max_y) of the product; 0 and the height where there is none."""
+    own = F.when(F.col("is_product"), F.col("y"))
+    return px.groupBy("image_id").agg(F.coalesce(F.min(own), F.lit(0)).alias("product_min_y"), F.coalesce(F.max(own), F.first("h")).alias("product_max_y"))
+
+
+def classify_white(px: DataFrame, stroke_ratio: float = 0.018, stitch_ratio: float = 0.0018) -> DataFrame:
+    """White regions (column is_white) of at least 4 pixels with stroke_width and class: sole, logo, stitching or laces."""
+    regions = thickness(px, "is_white").where("n >= 4").join(product_extent(px), "image_id")
+    height = F.greatest(F.lit(1), F.col("product_max_y") - F.col("product_min_y"))
+    pixels = F.col("w").cast("long") * F.col("h")
+    wide, high = F.col("max_x") - F.col("min_x") + 1, F.col("max_y") - F.col("min_y") + 1
+    aspect = F.greatest(wide, high) / F.greatest(F.lit(1), F.least(wide, high)).cast("double")
+    stroke = F.col("p70") * 2 < F.greatest(d(3), F.col("h") * d(stroke_ratio))
+    bottom = F.col("max_y") >= F.col("product_max_y") - height * d(0.16)
+    kind = (
+        F.when(~stroke & bottom & (F.col("n") > pixels * d(0.04)), "sole")
+        .when(~stroke, "logo")
+        .when((F.col("n") < pixels * d(stitch_ratio)) & (aspect > 1.8), "stitching")
+        .otherwise("laces")
+    )
+    width = F.greatest(d(2), F.least(F.col("max_dist").cast("double"), F.col("p70") * d(1.6)) * 2.0)
+    return regions.select("image_id", "comp", "n", "p70", "max_dist", width.alias("stroke_width"), kind.alias("kind"))
