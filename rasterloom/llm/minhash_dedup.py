@@ -12,6 +12,8 @@ from .kernels import WordHasher, coordinate_keys, shingle_sets, signature
 
 #: A pair at similarity 0.8 shares 25.6 of 32 coordinates on average, fewer than 14 once in a million pairs.
 COORDINATES, MATCHES = 32, 14
+#: Columns of 64 bits each that sketch a document's shared differences.
+BITS = ("b0", "b1", "b2", "b3")
 #: How often a document passes on to its anchor's own anchor.
 JUMPS = 2
 
@@ -116,9 +118,9 @@ def near_duplicates(
     active = shared.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialise(full_sets(texts.join(active.hint("merge"), "doc_id", "left_semi"), shingle))
     anchors = _anchors(shared)
-    family = materialise(_family_links(anchors, sets, percent))
-    others = materialise(_other_pairs(shared, anchors, reps, matches, percent))
-    parts = components(family.unionByName(_confirm(others, sets, percent)))
+    direct, met = _family_links(anchors, sets, percent)
+    pairs = materialise(met.unionByName(_other_pairs(shared, anchors, reps, matches, percent)))
+    parts = components(direct.unionByName(_confirm(pairs, sets, percent)))
     groups = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"), "rep", "copies").where("copies > 1 or component <> rep").drop("rep", "copies")
     out = rows.select("doc_id", *key).join(groups, key, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -135,15 +137,16 @@ def _anchors(shared: DataFrame) -> DataFrame:
     return materialise(out)
 
 
-def _family_links(anchors: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links (a, b) between documents of one anchor, exactly, without making all pairs of a family.
+def _family_links(anchors: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of documents with their anchor, and all pairs of one anchor that may be linked, without making all pairs of a family.
 
     A document is told by its delta d, the symmetric difference from its anchor h. With s = |x| + |y| and
     p the percentage, x and y are linked when (100 + p) |x ^ y| <= (100 - p) s, and |x ^ y| = |dx| + |dy| - 2 |dx & dy|.
     Documents near h (linked with it) need no pairs among themselves. If x is not near h, then any y
     linked with x shares more than p / (100 + p) of dy with dx, so y must have one of dx among the
     rarest |dy| - floor(p |dy| / (100 + p)) elements of dy. If y is not near h either, the same holds for x.
-    Only these prefixes meet, by anchor and element, and the join itself tests the inequality.
+    Only these prefixes meet, by anchor and element, and the join tests the inequality with an upper
+    bound of |dx & dy| from bit sketches; the pairs left are few more than the links.
     """
     x = anchors.join(sets, "rep").withColumnRenamed("shingles", "xs")
     h = sets.select(F.col("rep").alias("anchor"), F.col("shingles").alias("hs"))
@@ -153,22 +156,30 @@ def _family_links(anchors: DataFrame, sets: DataFrame, percent: int) -> DataFram
     items = delta.select("anchor", "rep", F.explode("d").alias("e"))
     often = items.groupBy("anchor", "e").agg(F.count("*").alias("df")).where("df > 1")
     common = items.join(often, ["anchor", "e"]).groupBy("anchor", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("c"))
-    rows = delta.join(common, ["anchor", "rep"]).select("anchor", "rep", "n", "near", F.size("d").alias("size"), F.transform("c", lambda c: c.e).alias("c"))
+    rows = delta.join(common, ["anchor", "rep"]).select("anchor", "rep", "n", "nh", "near", F.size("d").alias("size"), F.transform("c", lambda c: c.e).alias("c"))
+    # A document this far from h has no link with one near h, whose size is at most 100 / p of either.
+    reach = (100 + percent) * F.col("size") <= (100 - percent) * (F.col("n") + F.col("nh") + F.lit(200.0 / percent) * F.least("n", "nh"))
+    bits = {b: F.expr(f"aggregate(filter(c, e -> (e & {len(BITS) - 1}) = {i}), 0L, (s, e) -> s | shiftleft(1L, cast(shiftright(e, 3) & 63 as int)))") for i, b in enumerate(BITS)}
+    rows = rows.withColumns(bits | {"reach": reach})
     # Elements of one document come first in the order from rare to frequent and meet nothing.
     head = F.col("size") - F.floor(percent * F.col("size") / (100 + percent)) - (F.col("size") - F.size("c"))
     rows = materialise(rows.withColumn("head", F.greatest(F.lit(0), F.least(head, F.size("c"))).cast("int")))
     far = rows.where("not near")
-    posted = rows.where("head > 0").select("*", F.explode(F.slice("c", F.lit(1), F.col("head"))).alias("e")).alias("y")
-    asked = far.select("*", F.posexplode("c").alias("place", "e")).alias("x")
+    thin = ["anchor", "rep", "n", "size", "near", "head", F.size("c").alias("nc"), *BITS]
+    posted = rows.where("head > 0").select(*thin, F.explode(F.slice("c", F.lit(1), F.col("head"))).alias("e")).alias("y")
+    asks = F.when(F.col("reach"), F.size("c")).otherwise(F.col("head"))
+    asked = far.where(asks > 0).select(*thin, F.posexplode(F.slice("c", F.lit(1), asks)).alias("place", "e")).alias("x")
     s, gap = F.col("x.n") + F.col("y.n"), F.col("x.size") + F.col("y.size")
-    linked = (
+    only = lambda p, q: sum((F.bit_count(F.col(f"{p}.{b}").bitwiseAND(F.bitwise_not(f"{q}.{b}"))) for b in BITS), F.lit(0))
+    most = F.least(F.col("x.nc") - only("x", "y"), F.col("y.nc") - only("y", "x"))
+    near = (
         (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.rep") != F.col("y.rep"))
         & (F.col("y.near") | (F.col("x.rep") < F.col("y.rep")) & (F.col("x.place") < F.col("x.head")))
         & ((100 + percent) * F.abs(F.col("x.size") - F.col("y.size")) <= (100 - percent) * s)
-        & ((100 + percent) * (gap - 2 * F.size(F.array_intersect("x.c", "y.c"))) <= (100 - percent) * s)
+        & ((100 + percent) * (gap - 2 * most) <= (100 - percent) * s)
     )
-    met = asked.join(posted.hint("merge"), linked).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    return delta.where("near").select(F.col("rep").alias("a"), F.col("anchor").alias("b")).unionByName(met).distinct()
+    met = asked.join(posted.hint("merge"), near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    return delta.where("near").select(F.col("rep").alias("a"), F.col("anchor").alias("b")), met.distinct()
 
 
 def _other_pairs(shared: DataFrame, anchors: DataFrame, reps: DataFrame, matches: int, percent: int) -> DataFrame:
