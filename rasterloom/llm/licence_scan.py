@@ -84,8 +84,8 @@ SPELLINGS = (
     ("organise", "organize"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"),
     ("signalling", "signaling"), ("sub license", "sublicense"), ("utilisation", "utilization"), ("wilful", "willful"),
 )
-#: A whole line that gives a holder: it starts with the word or sign and has a year or a placeholder.
-COPYRIGHT_LINE = r"(?:^|\n)[ \t]*(?:copyright|\(c\)|©)[^\n]*(?:[12][0-9]{3}|<year>|\[year\]|<owner>)[^\n]*"
+#: A whole line that gives a holder: it starts, after comment signs, with the word or sign and has a year or a placeholder.
+COPYRIGHT_LINE = r"(?:^|\n)[ \t*#/;-]*(?:copyright|\(c\)|©)[^\n]*(?:[12][0-9]{3}|<year>|\[year\]|<owner>)[^\n]*"
 #: Everything in ASCII but letters and digits, general punctuation and the no-break space.
 GAP = r"[\x00-/:-`{-\x7F\x{A0}\x{2000}-\x{206F}]+"
 

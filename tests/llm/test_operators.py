@@ -1,0 +1,344 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rasterloom.llm import ann_search, chat_format, exact_dedup, html_extract, licence_scan, minhash_dedup, mixing, packing, substring_dedup, toxicity
+from rasterloom.llm.registry import ORACLES, QUERIES
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, size string, shingles string, score string, kept string"
+
+
+def words(text) -> list[str]:
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+
+
+def prose(rng: random.Random, n: int) -> list[str]:
+    return ["".join(rng.choice(("ka", "lo", "mi", "tu", "re", "so", "ny", "be")) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+
+
+def hard_texts() -> list[tuple]:
+    """Nulls, blanks, exact and near copies, a family of near copies, repeated rows, a very long text, non-ASCII."""
+    rng = random.Random(3)
+    base, long = prose(rng, 90), " ".join(prose(rng, 60_000))
+    texts = [None, "", " \t\n", "one two", "ONE TWO", "one two three", "É é ß ☃ 𝄞 ﬁ", "É É ß ☃ 𝄞 ﬁ", long, long + " end"]
+    for k in range(40):
+        copy = list(base)
+        for _ in range(k % 9):
+            copy[rng.randrange(len(copy))] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    passage = " ".join(prose(rng, 55))
+    texts += [" ".join(prose(rng, 80)) + " " + passage + " " + " ".join(prose(rng, 80)) for _ in range(3)]
+    texts += [" ".join(prose(rng, rng.randint(3, 200))) for _ in range(60)]
+    return [(i, t, "en", ("a", "b", None, "hot", "hot", "hot")[i % 6], None) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(*r, "x", "y", "z", "s", "k") for r in hard_texts()]
+    return spark.createDataFrame(rows + rows[12:14], SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def components(links, nodes):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_gives_the_rows_of_its_sql(spark, data_dir, same_rows, name):
+    same_rows(QUERIES[name](spark, data_dir), ORACLES[name], data_dir)
+
+
+@pytest.mark.parametrize("name", ["op3_mix_sources", "op8_licence_scan", "op10_exact_dedup"])
+def test_hard_tables_give_the_rows_of_the_sql(spark, docs, empty, same_rows, tmp_path, name):
+    for k, df in enumerate((docs, empty)):
+        folder = f"{tmp_path}/{k}"
+        df.drop("keep_id", "size", "shingles", "score", "kept").write.parquet(f"{folder}/documents.parquet")
+        same_rows(QUERIES[name](spark, folder), ORACLES[name], folder)
+
+
+# 3: mixing
+
+
+def test_mix_meets_targets_and_caps(spark):
+    rows = [(i, "w " * (1 + i % 7), "big" if i % 3 else "small" if i < 30 else "tiny" if i == 33 else "mid") for i in range(300)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    by = {}
+    sources = {r[0]: r[2] for r in rows}
+    for r in out.collect():
+        taken, target, size = by.get(sources[r.doc_id], (0, r.target, r.source_size))
+        by[sources[r.doc_id]] = (taken + r.taken, target, size)
+        assert 0 <= r.taken <= 2 * r.size
+    assert all(abs(taken - target) <= 0.5 and target <= 2 * size for taken, target, size in by.values())
+    assert sum(t for _, t, _ in by.values()) == pytest.approx(1.5 * sum(s for *_, s in by.values()))
+
+
+# 4: near duplicates
+
+
+@pytest.mark.parametrize("shingle", [4, 5])
+def test_near_duplicates_against_brute_force(spark, docs, empty, shingle):
+    sets = {}
+    for i, t, *_ in hard_texts():
+        w = words(t)
+        sets[i] = {tuple(w[j : j + shingle]) for j in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)} - {()}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components(links, sets)
+    got = minhash_dedup.near_duplicates(docs, shingle=shingle).collect()
+    assert len(got) == docs.count()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
+    assert minhash_dedup.near_duplicates(empty).collect() == []
+
+
+def test_a_large_family_of_near_copies_against_brute_force(spark):
+    rng = random.Random(11)
+    base, rows, sets = prose(rng, 120), [], {}
+    for i in range(160):
+        copy = list(base)
+        for _ in range(rng.choice((0, 1, 2, 4, 5, 6, 7, 8, 12))):
+            copy[rng.randrange(len(copy))] = f"w{rng.randrange(30)}"
+        rows.append((i, " ".join(copy)))
+        sets[i] = {tuple(copy[j : j + 4]) for j in range(117)}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components(links, sets)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and 1 < len(set(want.values())) < 160
+
+
+def test_null_ids_are_linked_with_nothing(spark):
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (None, None)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 0, True), (1, 1, True)]
+
+
+# 5: packing
+
+
+def test_packing_round_trip(spark, docs, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    out = packing.pack(docs).toPandas()
+    assert out.groupby("sequence_id")["length"].sum().max() <= 1024
+    ordered = out.sort_values(["sequence_id", "offset"])
+    assert (ordered.groupby("sequence_id")["length"].cumsum() - ordered["length"] == ordered["offset"]).all()
+    once = out.drop_duplicates(["doc_id", "piece"])
+    for i, t, *_ in hard_texts():
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+        own = once[once["doc_id"] == i].sort_values("piece")
+        assert list(own["piece"]) == list(range(-(-len(ids) // 1024))) and (own["length"][1:] == 1024).all()
+        assert [zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes()) for s, n in zip(own["start"], own["length"])] == list(own["ids_crc32"])
+        assert own["length"].sum() == len(ids)
+    assert len(out) == len(once) + 2  # the repeated rows have a piece each
+    assert packing.pack(empty).collect() == []
+
+
+def test_packing_comes_close_to_the_bound(spark, data_dir):
+    out = QUERIES["op5_best_fit_packing"](spark, data_dir).toPandas()
+    assert out["sequence_id"].nunique() <= 1.01 * out["length"].sum() / 1024 + 2
+
+
+def test_evolution_never_loses_items_and_helps():
+    sizes = np.sort(np.random.default_rng(5).integers(150, 500, 300))[::-1]
+    first = packing.Packing(sizes, 1024)
+    greedy = first.genes(first.best_fit([], range(len(sizes))))
+    best = packing.evolve(sizes, 1024, [], 1)[0]
+    assert first.fitness(best) >= first.fitness(greedy) and first.fill(best).max() <= 1 and len(best) == 300
+
+
+# 6: chat
+
+
+def test_chat_round_trip_of_hard_conversations(spark, tmp_path, same_rows):
+    marks = "<|end|> [INST] <s> <~s> [~~/INST] <|turn|>user<|text|> \\ $1 [ < é𝄞"
+    rows = [(1, 0, "user", marks), (1, 1, "assistant", marks), (1, 2, None, None), (1, 2, "user", "b"), (2, None, "assistant", ""), (2, 0, "<|text|>", "x"), (3, 0, "system", "s")]
+    rows += [(4, k, ("user", "assistant")[k % 2], f"t{k}") for k in range(70)]
+    for k, use in enumerate((rows, [])):
+        spark.createDataFrame(use, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/{k}/conversations.parquet")
+        same_rows(QUERIES["op6_chat_format"](spark, f"{tmp_path}/{k}"), ORACLES["op6_chat_format"], f"{tmp_path}/{k}")
+
+
+def test_branches_are_ranked_by_score(spark):
+    rows = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "bad", 0.1), ("t", 3, 1, "assistant", "good", 0.9), ("t", 4, 3, "user", "more", None), ("t", 5, 9, "user", "orphan", 0.2), ("c", 1, 2, "user", "x", 0.0), ("c", 2, 1, "user", "y", 0.0)]
+    nodes = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
+    best = {(r.tree, r.leaf): [t.text for t in r.turns] for r in chat_format.read_back(chat_format.format_conversations(nodes, 2)).collect()}
+    assert best == {("t", 4): ["q", "good", "more"], ("t", 5): ["orphan"]}
+
+
+# 7: toxicity
+
+
+def test_toxicity_on_held_out_rows(spark, data_dir):
+    folder = data_dir.replace("sf0.001", "sf0.1")
+    out = QUERIES["op7_toxicity"](spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    r = out.join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").toPandas()
+    right, wrong = ((r["predicted"] == 1) & (r["toxic"] == t) for t in (1, 0))
+    assert right.sum() >= 0.9 * (r["toxic"] == 1).sum() and wrong.sum() <= 0.02 * (r["toxic"] == 0).sum()
+    assert out.where("score < 0 or score > 1 or score is null").count() == 0
+    assert out.where(F.col("held_out") != (F.crc32(F.col("doc_id").cast("string")) % 4 == 2)).count() == 0
+
+
+def test_toxicity_of_hard_rows(spark, docs, empty):
+    labels = spark.createDataFrame([(i, None, i % 2) for i in range(0, 60)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert toxicity.score_toxicity(docs, model).where("score between 0 and 1").count() == docs.count()
+    assert toxicity.score_toxicity(empty, model).count() == 0
+    none = toxicity.fit(docs, labels.limit(0))
+    assert {r["score"] for r in toxicity.score_toxicity(docs, none).select("score").collect()} == {0.0}
+
+
+def test_isotonic_is_monotone_and_calibrated():
+    rng = np.random.default_rng(1)
+    score = rng.normal(size=2000)
+    y = (rng.random(2000) < 1 / (1 + np.exp(-2 * score))).astype(float)
+    knots, rates = toxicity.isotonic(score, y)
+    assert (np.diff(knots) >= 0).all() and (np.diff(rates) >= 0).all() and abs(np.interp(score, knots, rates).mean() - y.mean()) < 0.01
+
+
+# 8: licences
+
+
+def test_licences_in_other_spellings(spark):
+    mit = licence_scan.LICENCES["MIT"].replace("License", "LICENCE").replace("<year> <copyright holders>", "2019 Ann & Co.").replace("\n\n", "\n \n * ")
+    rows = [(1, mit), (2, mit + " more"), (3, None), (4, licence_scan.LICENCES["BSD-3-Clause"].upper())]
+    got = {r.doc_id: r.licence_id for r in licence_scan.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "MIT", 2: None, 3: None, 4: "BSD-3-Clause"}
+
+
+# 9: substrings
+
+
+def test_repeated_passages_are_found_and_others_left(spark, docs, empty):
+    rng = random.Random(8)
+    found = substring_dedup.repeated_spans(docs)
+    ids = {r["doc_id"] for r in found.select("doc_id").collect()}
+    texts = {i: t for i, t, *_ in hard_texts()}
+    grams = {}
+    for i, t in texts.items():
+        w = words(t)
+        for j in range(len(w) - 50):
+            grams.setdefault(tuple(w[j : j + 51]), set()).add(i)
+    must = set().union(*(d for d in grams.values() if len(d) > 1))
+    assert must <= ids
+    short = {}
+    for i, t in texts.items():
+        w = words(t)
+        for j in range(len(w) - 15):
+            short.setdefault(tuple(w[j : j + 16]), set()).add(i)
+    assert ids <= set().union(*(d for d in short.values() if len(d) > 1))
+    for r in found.collect():
+        part = texts[r.doc_id].encode()[r.first_byte : r.first_byte + r.n_bytes].decode()
+        assert len(words(part)) == r.n_words >= 16
+    assert substring_dedup.repeated_spans(empty).collect() == []
+    cut = substring_dedup.cut_repeats(docs, found)
+    assert cut.columns == docs.columns and cut.count() == docs.count()
+    assert sum(len(r["text"] or "") for r in cut.collect()) < sum(len(r["text"] or "") for r in docs.collect())
+    del rng
+
+
+def test_an_insertion_moves_only_cuts_near_it():
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    moved = np.concatenate((h[:1000], rng.integers(0, 2**63, 7, dtype=np.uint64), h[1000:]))
+    cuts = [set(substring_dedup.chunk_bounds(x, np.zeros(len(x), int), np.array([len(x)]))[0].tolist()) for x in (h, moved)]
+    assert {c for c in cuts[0] if c > 1040} == {c - 7 for c in cuts[1] if c > 1047}
+    assert max(np.diff(sorted(cuts[0]))) <= substring_dedup.WINDOW
+
+
+# 10: exact copies
+
+
+def test_binary_fuse_has_no_false_negatives():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 1000, 60_000):
+        keys = rng.integers(0, 2**63, n, dtype=np.uint64)
+        made = exact_dedup.BinaryFuse.build(keys)
+        assert made.contains(keys).all()
+        assert made.contains(rng.integers(0, 2**63, 20_000, dtype=np.uint64)).mean() < 0.01
+
+
+def test_copies_of_an_earlier_snapshot(spark):
+    old = spark.createDataFrame([(1, "A b"), (2, "c")], "doc_id long, text string")
+    new = spark.createDataFrame([(7, "a B"), (8, "a b"), (9, "d"), (10, None), (11, "")], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(new, old).collect()}
+    digest = hashlib.sha256(b"a b").hexdigest()
+    assert got[7] == (8, 3, False, digest) and got[8] == (8, 3, True, digest) and got[9][:3] == (9, 1, True) and got[10][:3] == (11, 2, False)
+
+
+# 1: html
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (None, ""), ("", ""), ("<html><body></body></html>", ""), ("plain  &amp; text", "plain & text"),
+        ("<body><nav>menu</nav><article><h1>T &lt;1&gt;</h1><p>a<br>b <i>c</i>d<p>e&nbsp; f<ul><li>x<li>y</ul></article><footer>f</footer></body>", "T <1>\na b cd\ne f\nx\ny"),
+        ("<body><div class='cookie-notice'>c</div><main><p>one<script>var p='</p>'</script></p><aside>s</aside><form>q</form><p>two</p></main><div id=comments><p>hm</p></div></body>", "one\ntwo"),
+        ("<body class='has-sidebar'><div class='post-12'><p>long text of the post</p><div class='ad-box'>buy</div></div><!-- <p>no</p> -->", "long text of the post"),
+        ("<article><p title=\"a > b\">in</p><p>&#8364; &#x41; &copy &unknown;</p></article>", "in\n€ A © &unknown;"),
+    ],
+)
+def test_main_text(page, want):
+    assert html_extract.main_text(page, None) == want
+
+
+def test_hosts_vote_and_pages_without_the_path_use_their_own(spark):
+    body = "<body><div class='a{}'><p>text of page {} is here</p></div></body>"
+    rows = [(i, f"http://H.example.org/{i}", body.format(i, i), "x") for i in range(4)] + [(9, "http://h.example.org/9", "<body><section><p>other page</p></section></body>", "x"), (10, None, None, None), (11, "no url", "<p>t</p>", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got == {**{i: f"text of page {i} is here" for i in range(4)}, 9: "other page", 10: "", 11: "t"}
+    assert {r.host: r.winner for r in html_extract.winning_paths(pages.withColumn("host", html_extract.host_of(F.col("url")))).collect()}["h.example.org"] == ">body>div.a#"
+    assert html_extract.extract(pages.limit(0)).collect() == []
+
+
+# 2: neighbours
+
+
+def test_neighbours_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(900, 64))
+    v[400:700] = v[400]
+    rows = [(i, [float(x) for x in row], 0) for i, row in enumerate(v)]
+    rows += [(1000, None, 0), (1100, [0.0] * 64, 0), (1200, [float("nan")] + [1.0] * 63, 0), (1300, [None] + [1.0] * 63, 0), (1400, [1.0] * 3, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["op2_ann_search"](spark, str(tmp_path)).toPandas()
+    hits = total = 0
+    for q in range(0, 900, 100):
+        gap = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        ids = np.arange(900)
+        keep = ids != q
+        want = ids[keep][np.lexsort((ids[keep], gap[keep]))[:10]]
+        own = got[got["query_id"] == q].sort_values("rank")
+        assert list(own["rank"]) == list(range(1, 11)) and np.array_equal(own["score"], gap[own["vec_id"]])
+        hits, total = hits + len(set(want) & set(own["vec_id"])), total + 10
+        if q == 400:
+            assert list(own["vec_id"]) == list(range(401, 411))
+    assert set(got["query_id"]) == set(range(0, 900, 100)) and hits / total >= 0.9
+    few = ann_search.usable(spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>, rank int"), "vec_id", "embedding")
+    assert ann_search.search(few, few).count() == 6
+    assert ann_search.search(few.limit(0), few.limit(0)).count() == 0
