@@ -9,8 +9,12 @@ SIDE = 48
 
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels (image_id, w, h, x, y, idx, r, g, b)."""
+    """Pixels (image_id, w, h, x, y, idx, r, g, b).
+
+    Pictures are dealt out before their rows multiply, so that later windows and groups by picture need no shuffle.
+    """
     part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("image_id"), "p_size")
+    part = part.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "image_id")
     line = F.sequence(F.lit(0), F.lit(SIDE - 1))
     px = part.select("*", F.explode(line).alias("y")).select("*", F.explode(line).alias("x"))
     x, y, size = F.col("x"), F.col("y"), F.col("p_size")
