@@ -93,7 +93,7 @@ def repeated_spans(docs: DataFrame, *, least_words: int = LEAST, id_col: str = "
     that repeat count once; an empty table gives no rows. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    shared = chunks(rows, False).groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("a", "b", "first")
+    shared = materialise(chunks(rows, False).groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("a", "b", "first"))
     found = materialise(chunks(rows, True).join(shared.hint("merge"), ["a", "b"]).drop("a", "b"))
     found = found.dropDuplicates(["doc_id", "body", "word"])
     order = Window.partitionBy("doc_id", "body").orderBy("word")
