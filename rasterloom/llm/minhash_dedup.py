@@ -122,6 +122,7 @@ def near_duplicates(
     pairs = materialise(met.unionByName(_other_pairs(shared, anchors, reps, matches, percent)))
     parts = components(direct.unionByName(_confirm(pairs, sets, percent)))
     groups = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"), "rep", "copies").where("copies > 1 or component <> rep").drop("rep", "copies")
+    groups = materialise(groups)  # both sides of the last join are then plain shuffles, whose hot keys AQE splits
     out = rows.select("doc_id", *key).join(groups, key, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
