@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_mix_sources": mixing.ORACLE_SQL,
+    "op4_minhash_near_dedup": minhash_dedup.ORACLE_SQL,
     "op6_chat_format": chat_format.ORACLE_SQL,
     "op8_licence_scan": licence_scan.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
