@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 #: Projections, share of them in which a vector must collide, first share of a shard that a window holds, growth of windows, least vectors to verify (a share of the shard and a number).
-PROJECTIONS, THRESHOLD, FIRST, GROWTH, VERIFY_SHARE, VERIFY_LEAST = 32, 0.5, 0.1, 1.4, 0.25, 1_000
+PROJECTIONS, THRESHOLD, FIRST, GROWTH, VERIFY_SHARE, VERIFY_LEAST = 32, 0.5, 0.1, 1.4, 0.4, 1_000
 SHARD, BLOCK = 16_384, 4_096
 
 
@@ -24,15 +24,17 @@ class Shard:
         values = vectors @ self.lines
         self.order = np.argsort(values, axis=0, kind="stable").astype(np.int32)
         self.values = np.sort(values, axis=0)
-        self.norms = np.einsum("ij,ij->i", vectors, vectors)
         n = len(vectors)
+        # Equal vectors collide alike and count as one of those to verify.
+        _, place, copies = np.unique(vectors, axis=0, return_inverse=True, return_counts=True)
+        self.weight, self.distinct = 1.0 / copies[place.ravel()], len(copies)
         spread = self.values[min(n - 1, int(n * 0.75))] - self.values[int(n * 0.25)]
         self.width = float(np.median(spread)) * FIRST or 1e-9
 
     def nearest(self, queries: np.ndarray, k: int):
         """For each query the places of verified vectors: windows grow until enough vectors collide often enough."""
         n, centres = len(self.vectors), queries @ self.lines
-        enough = min(n, max(VERIFY_LEAST, 10 * k, int(VERIFY_SHARE * n)))
+        enough = min(self.distinct, max(VERIFY_LEAST, 10 * k, int(VERIFY_SHARE * self.distinct)))
         least = int(np.ceil(THRESHOLD * PROJECTIONS))
         todo, width = np.arange(len(queries)), self.width
         found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
@@ -41,10 +43,10 @@ class Shard:
             high = np.stack([np.searchsorted(self.values[:, j], centres[todo, j] + width / 2, "right") for j in range(PROJECTIONS)], 1)
             left = []
             for q, lo, hi in zip(todo.tolist(), low, high):
-                if (hi - lo).sum() >= least * min(n, enough):
+                if (hi - lo).sum() >= least * enough:
                     counts = np.bincount(np.concatenate([self.order[a:b, j] for j, (a, b) in enumerate(zip(lo, hi))]), minlength=n)
                     hits = np.flatnonzero(counts >= least)
-                    if len(hits) >= enough or (hi - lo).min() == n:
+                    if self.weight[hits].sum() >= enough - 0.5 or (hi - lo).min() == n:
                         found[q] = hits
                         continue
                 left.append(q)
