@@ -29,10 +29,8 @@ def mark_background(px: DataFrame) -> DataFrame:
     """Adds is_background: pixels near the background colour whose region touches the border."""
     px = px.join(background_color(px), "image_id")
     near = distance(*((F.col(c).cast("double"), F.col(f"bg_{c}")) for c in "rgb")) < BACKGROUND_DISTANCE
-    px = components(px, near, "_bg").drop("bg_r", "bg_g", "bg_b")
-    border = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.col("w") - 1) | (F.col("y") == F.col("h") - 1)
-    touches = F.max(border).over(Window.partitionBy("image_id", "_bg"))
-    return px.withColumn("is_background", F.col("_bg").isNotNull() & touches).drop("_bg")
+    px = components(px, near, "_bg", "_touch").drop("bg_r", "bg_g", "bg_b")
+    return px.withColumn("is_background", F.coalesce("_touch", F.lit(False))).drop("_bg", "_touch")
 
 
 def foreground_regions(px: DataFrame) -> tuple[DataFrame, DataFrame]:

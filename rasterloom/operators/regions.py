@@ -12,6 +12,9 @@ from pyspark.sql.window import WindowSpec
 from ..scratch import materialise
 
 
+BORDER = "x = 0 or y = 0 or x = w - 1 or y = h - 1"
+
+
 def row() -> WindowSpec:
     return Window.partitionBy("image_id", "y").orderBy("x")
 
@@ -95,12 +98,13 @@ def _join_runs(pdf: pd.DataFrame) -> pd.DataFrame:
             a, b = find(k), find(i)
             parent[max(a, b)] = min(a, b)
             k += 1
-    first = pdf["first"].to_numpy()
-    return pdf[["image_id", "y", "run"]].assign(comp=[first[find(i)] for i in range(len(pdf))])
+    root = [find(i) for i in range(len(pdf))]
+    touching = set(pd.Series(root)[pdf["edge"].to_numpy()])
+    return pdf[["image_id", "y", "run"]].assign(comp=pdf["first"].to_numpy()[root], edge=[r in touching for r in root])
 
 
-def components(px: DataFrame, mark: Column, out: str = "comp") -> DataFrame:
-    """Adds out: for marked pixels the least idx of their 4-connected region, else null.
+def components(px: DataFrame, mark: Column, out: str = "comp", edge: str | None = None) -> DataFrame:
+    """Adds out: for marked pixels the least idx of their 4-connected region, else null; and edge, if named: whether that region touches the border.
 
     Pixels of a row become runs (gaps and islands); only runs, far fewer than pixels, go to the one
     ordered step, union-find by image. Regions come back by an equi-join on (image_id, y, run); the
@@ -109,17 +113,17 @@ def components(px: DataFrame, mark: Column, out: str = "comp") -> DataFrame:
     px = px.withColumn("_mark", F.coalesce(mark, F.lit(False)))
     px = px.withColumn("run", F.col("x") - F.row_number().over(Window.partitionBy("image_id", "y", "_mark").orderBy("x")))
     px = materialise(px)
-    runs = px.where("_mark").groupBy("image_id", "y", "run").agg(F.min("x").alias("xs"), F.max("x").alias("xe"), F.min("idx").alias("first"))
-    joined = runs.groupBy("image_id").applyInPandas(_join_runs, "image_id long, y int, run int, comp long").withColumn("_mark", F.lit(True))
-    return px.join(joined.withColumnRenamed("comp", out), ["image_id", "y", "run", "_mark"], "left").drop("_mark", "run")
+    runs = px.where("_mark").groupBy("image_id", "y", "run").agg(F.min("x").alias("xs"), F.max("x").alias("xe"), F.min("idx").alias("first"), F.bool_or(F.expr(BORDER)).alias("edge"))
+    joined = runs.groupBy("image_id").applyInPandas(_join_runs, "image_id long, y int, run int, comp long, edge boolean").withColumn("_mark", F.lit(True))
+    joined = joined.withColumnsRenamed({"comp": out, "edge": edge or "_edge"})
+    return px.join(joined.hint("shuffle_hash"), ["image_id", "y", "run", "_mark"], "left").drop("_mark", "run", "_edge")
 
 
 def component_stats(px: DataFrame, comp: str = "comp", *more: Column) -> DataFrame:
     """Count, bounding box and border contact of each region, numbered in scan order."""
-    border = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.col("w") - 1) | (F.col("y") == F.col("h") - 1)
     stats = px.where(F.col(comp).isNotNull()).groupBy("image_id", comp).agg(
         F.count("*").alias("n"), F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"),
-        F.bool_or(border).alias("touches_border"), *more,
+        F.bool_or(F.expr(BORDER)).alias("touches_border"), *more,
     )
     return stats.withColumn("number", (F.row_number().over(Window.partitionBy("image_id").orderBy(comp)) - 1).cast("int"))
 
