@@ -1,14 +1,12 @@
-"""What the operators share: table access, cut lineage, connected components."""
+"""What the operators share: tables, cut lineage, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -16,32 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/rasterloom-{spark.sparkContext.applicationId}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back.
-
-    A lost executor then costs the tasks it ran, not the plan that led here, and statistics of
-    the written table let the planner size later joins.
-    """
-    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete every table that materialise() wrote in this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(col) -> F.Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -77,7 +49,3 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
-
-
-def both_true(*conditions) -> F.Column:
-    return reduce(lambda x, y: x & y, conditions)
