@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-#: Projections, share of them in which a vector must collide, first share of a shard that a window holds, growth of windows, least vectors to verify (a share of the shard and a number).
-PROJECTIONS, THRESHOLD, FIRST, GROWTH, VERIFY_SHARE, VERIFY_LEAST = 32, 0.5, 0.1, 1.4, 0.4, 1_000
-SHARD, BLOCK = 16_384, 4_096
+#: Projections, share of them in which a vector must collide, first width of a window in middle spreads of a projection, growth of windows, least vectors to verify (a share of the shard and a number).
+PROJECTIONS, THRESHOLD, FIRST, GROWTH, VERIFY_SHARE, VERIFY_LEAST = 64, 0.6, 0.1, 1.15, 0.15, 1_000
+#: Vectors of a shard, queries of a block, queries counted at a time.
+SHARD, BLOCK, COUNTED = 16_384, 4_096, 256
 
 
 class Shard:
@@ -19,8 +20,7 @@ class Shard:
 
     def __init__(self, vectors: np.ndarray, seed: int = 11):
         self.vectors = vectors
-        lines = np.random.default_rng(seed).standard_normal((vectors.shape[1], PROJECTIONS))
-        self.lines = lines / np.sqrt((lines * lines).sum(axis=0))
+        self.lines = self._lines(vectors.shape[1], seed)
         values = vectors @ self.lines
         self.order = np.argsort(values, axis=0, kind="stable").astype(np.int32)
         self.values = np.sort(values, axis=0)
@@ -31,21 +31,40 @@ class Shard:
         spread = self.values[min(n - 1, int(n * 0.75))] - self.values[int(n * 0.25)]
         self.width = float(np.median(spread)) * FIRST or 1e-9
 
+    @staticmethod
+    def _lines(size: int, seed: int) -> np.ndarray:
+        """Unit vectors to project on, in random orthogonal bases: their collisions tell more of a distance than those of independent lines."""
+        rng = np.random.default_rng(seed)
+        bases = [np.linalg.qr(rng.standard_normal((size, size)))[0] for _ in range(-(-PROJECTIONS // size))]
+        return np.concatenate(bases, axis=1)[:, :PROJECTIONS]
+
     def nearest(self, queries: np.ndarray, k: int):
         """For each query the places of verified vectors: windows grow until enough vectors collide often enough."""
-        n, centres = len(self.vectors), queries @ self.lines
+        return [hits for at in range(0, len(queries), COUNTED) for hits in self._grow(queries[at : at + COUNTED], k)]
+
+    def _grow(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """Virtual rehashing: a grown window counts only what it gains at its two ends."""
+        n, m, centres = len(self.vectors), len(queries), queries @ self.lines
         enough = min(self.distinct, max(VERIFY_LEAST, 10 * k, int(VERIFY_SHARE * self.distinct)))
         least = int(np.ceil(THRESHOLD * PROJECTIONS))
-        todo, width = np.arange(len(queries)), self.width
-        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+        todo, width = np.arange(m), self.width
+        counts = np.zeros((m, n), np.int16)
+        begun = np.stack([np.searchsorted(self.values[:, j], centres[:, j]) for j in range(PROJECTIONS)], 1)
+        seen = np.stack((begun, begun))
+        found: list[np.ndarray] = [np.zeros(0, np.int64)] * m
         while len(todo):
-            low = np.stack([np.searchsorted(self.values[:, j], centres[todo, j] - width / 2, "left") for j in range(PROJECTIONS)], 1)
-            high = np.stack([np.searchsorted(self.values[:, j], centres[todo, j] + width / 2, "right") for j in range(PROJECTIONS)], 1)
+            low, high = (
+                np.stack([np.searchsorted(self.values[:, j], centres[todo, j] + sign * width / 2, side) for j in range(PROJECTIONS)], 1)
+                for sign, side in ((-1, "left"), (1, "right"))
+            )
             left = []
             for q, lo, hi in zip(todo.tolist(), low, high):
                 if (hi - lo).sum() >= least * enough:
-                    counts = np.bincount(np.concatenate([self.order[a:b, j] for j, (a, b) in enumerate(zip(lo, hi))]), minlength=n)
-                    hits = np.flatnonzero(counts >= least)
+                    gained = [self.order[a:b, j] for j in range(PROJECTIONS) for a, b in ((lo[j], seen[0, q, j]), (seen[1, q, j], hi[j])) if a < b]
+                    if gained:
+                        counts[q] += np.bincount(np.concatenate(gained), minlength=n).astype(np.int16)
+                    seen[0, q], seen[1, q] = lo, hi
+                    hits = np.flatnonzero(counts[q] >= least)
                     if self.weight[hits].sum() >= enough - 0.5 or (hi - lo).min() == n:
                         found[q] = hits
                         continue
