@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a, b): one row (node, component), component the least node.
 
     Alternates the large-star and small-star steps until the links no longer change. Every step is
-    an aggregate and an equi-join on thin rows; a hub's links are split by AQE's skewed joins.
+    an aggregate and an equi-join on thin rows. The aggregates are written first, so that both sides of
+    a join are plain shuffles and AQE can split a hub's links.
     """
     e = materialise(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -34,10 +35,10 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = materialise(both.join(low.hint("merge"), "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(low.hint("merge"), "u")
         e = materialise(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))
