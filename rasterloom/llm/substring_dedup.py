@@ -79,10 +79,11 @@ def chunks(docs: DataFrame, places: bool) -> DataFrame:
 def repeated_spans(docs: DataFrame, *, least_words: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Word spans of documents that other documents have too: a row for each span.
 
-    (doc_id, body, first_word, n_words, first_byte, n_bytes, first_doc_id, kept): body tells apart
+    (doc_id, body, first_word, n_words, first_byte, n_bytes, first_doc_id, kept, cuts): body tells apart
     different texts of one doc_id; byte places are those of the UTF-8 text; first_doc_id is
     the least document with one of the span's chunks; kept, whether all of its chunks are here
-    first. Words are compared with A-Z lowered and white space ignored. Neighbouring repeated chunks
+    first; cuts, the (first_byte, n_bytes) of its runs of chunks that another document has first,
+    which may be shorter than least_words. What is in no cut stays, so each chunk stays in its first document. Words are compared with A-Z lowered and white space ignored. Neighbouring repeated chunks
     are joined and spans under least_words dropped, which shared phrases may be. A shared passage of
     at least 2 * WINDOW + 3 words contains a whole chunk, one of over 50 words at least LEAST words of them.
 
@@ -98,12 +99,20 @@ def repeated_spans(docs: DataFrame, *, least_words: int = LEAST, id_col: str = "
     found = found.dropDuplicates(["doc_id", "body", "word"])
     order = Window.partitionBy("doc_id", "body").orderBy("word")
     gap = F.coalesce(F.lag(F.col("word") + F.col("words")).over(order) != F.col("word"), F.lit(True)).cast("int")
-    spans = found.withColumn("gap", gap).withColumn("span", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    own = F.col("first") == F.col("doc_id")
+    turn = F.greatest(gap, (own != F.lag(own).over(order)).cast("int"))
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    spans = found.withColumn("gap", gap).withColumn("turn", turn).withColumn("span", F.sum("gap").over(running)).withColumn("run", F.sum("turn").over(running))
+    runs = spans.groupBy("doc_id", "body", "span", "run").agg(
+        F.min("word").alias("word"), F.sum("words").alias("words"), F.min("byte").alias("byte"), F.max(F.col("byte") + F.col("bytes")).alias("end"),
+        F.min("first").alias("first"), F.bool_and(own).alias("own"),
+    )
+    place = F.struct(F.col("byte").alias("first_byte"), (F.col("end") - F.col("byte")).alias("n_bytes"))
     return (
-        spans.groupBy("doc_id", "body", "span")
+        runs.groupBy("doc_id", "body", "span")
         .agg(
-            F.min("word").cast("long").alias("first_word"), F.sum("words").alias("n_words"), F.min("byte").alias("first_byte"),
-            (F.max(F.col("byte") + F.col("bytes")) - F.min("byte")).alias("n_bytes"), F.min("first").alias("first_doc_id"), F.bool_and(F.col("first") == F.col("doc_id")).alias("kept"),
+            F.min("word").cast("long").alias("first_word"), F.sum("words").alias("n_words"), F.min("byte").alias("first_byte"), (F.max("end") - F.min("byte")).alias("n_bytes"),
+            F.min("first").alias("first_doc_id"), F.bool_and("own").alias("kept"), F.array_sort(F.collect_list(F.when(~F.col("own"), place))).alias("cuts"),
         )
         .where(F.col("n_words") >= least_words)
         .drop("span")
@@ -111,8 +120,8 @@ def repeated_spans(docs: DataFrame, *, least_words: int = LEAST, id_col: str = "
 
 
 def cut_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs (with doc_id and text) without the bytes of spans that are not kept; every row stays, with its other columns."""
-    gone = spans.where("not kept").groupBy("doc_id").agg(F.collect_set(F.struct("first_byte", "n_bytes")).alias("_gone"))
+    """docs (with doc_id and text) without the bytes of the spans' cuts; every row stays, with its other columns."""
+    gone = spans.select("doc_id", F.explode("cuts").alias("cut")).groupBy("doc_id").agg(F.collect_set("cut").alias("_gone"))
 
     @F.udf("string", useArrow=True)
     def without(text, gone):

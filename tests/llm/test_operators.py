@@ -260,6 +260,21 @@ def test_repeated_passages_are_found_and_others_left(spark, docs, empty):
     del rng
 
 
+def test_every_chunk_stays_in_a_document(spark):
+    rng = random.Random(9)
+    shared, copied = prose(rng, 60), prose(rng, 200)
+    whole = " ".join(copied[:100] + shared + copied[100:])
+    rows = [(1, " ".join(prose(rng, 30) + shared + prose(rng, 30))), (2, whole), (3, whole), *((10 + i, t) for i, t, *_ in hard_texts())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [" " + " ".join(words(r["text"])) + " " for r in substring_dedup.cut_repeats(docs, substring_dedup.repeated_spans(docs)).collect()]
+    texts = dict(rows)
+    parts = {r["doc_id"]: [] for r in docs.collect()}
+    for r in substring_dedup.chunks(docs, True).collect():
+        parts[r["doc_id"]].append(" ".join(words(texts[r["doc_id"]].encode()[r["byte"] : r["byte"] + r["bytes"]].decode())))
+    assert all(any(f" {part} " in text for text in left) for part in set().union(*parts.values()))
+    assert sum(" ".join(copied[:100]) in text for text in left) == 1 and sum(" ".join(shared[20:40]) in text for text in left) == 1
+
+
 def test_an_insertion_moves_only_cuts_near_it():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 2**63, 4000, dtype=np.uint64)
