@@ -19,6 +19,8 @@ SHARE = 0.8
 #: Fixed values of HTML: elements without content, of raw text, inside a line, and those that end an open <p>.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript textarea template iframe svg math title head object canvas audio video select".split())
+#: Those of RAW that hold no tags: whatever is inside, they end at their own closing tag.
+TEXT_ONLY = frozenset("script style noscript textarea iframe title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br ruby rt rp".split())
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption td th tr tbody thead tfoot table ul ol dl summary address hr figure".split())
 #: Elements that are never part of an article, and words in class, id or role that mark such ones.
@@ -65,6 +67,11 @@ def _marks(attributes: str) -> tuple[str, bool]:
     return first, outside
 
 
+def _closing(page: str, tag: str, at: int) -> re.Match | None:
+    """The first closing tag of tag at or after a place."""
+    return re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+
+
 def blocks(page: str):
     """The blocks of a page in order: (text, containers), containers the nodes of the open elements, innermost last.
 
@@ -72,7 +79,7 @@ def blocks(page: str):
     """
     nodes = [_Open("", "", False)]
     stack, found, buffer = [0], [], []
-    at, length, raw = 0, len(page), None
+    at, pos, length, raw, resume = 0, 0, len(page), None, 0
 
     def flush():
         if buffer:
@@ -85,10 +92,20 @@ def blocks(page: str):
                 for k in stack:
                     nodes[k].size += len(text)
 
-    for m in _TAG.finditer(page):
+    while True:
+        m = _TAG.search(page, pos)
+        if m is None:
+            if raw is None:
+                break
+            raw, at, pos = None, resume, resume
+            continue
+        pos = m.end()
         if raw is not None:
-            if m.group(1) == "/" and m.group(2).lower() == raw:
-                raw, at = None, m.end()
+            tag = (m.group(2) or "").lower()
+            if m.group(1) and tag == raw:
+                raw, at = None, pos
+            elif tag in TEXT_ONLY and not m.group(1) and (end := _closing(page, tag, pos)):
+                pos = end.end()
             continue
         start = m.start()
         if start > at:
@@ -99,17 +116,19 @@ def blocks(page: str):
             continue
         tag = tag.lower()
         if tag in RAW and not m.group(1):
-            if not m.group(3).endswith("/") and re.compile(f"</{tag}", re.I).search(page, at):
-                raw = tag
+            if not m.group(3).endswith("/") and (end := _closing(page, tag, at)):
+                if tag in TEXT_ONLY:
+                    at = pos = end.end()
+                else:
+                    raw, resume = tag, end.end()
             continue
         if tag in INLINE:
             if tag in ("br", "img"):
                 buffer.append(" ")
             elif not m.group(1) and m.group(3) and _marks(m.group(3))[1] and tag != "a":
-                end = page.find(f"</{m.group(2)}", at)
-                if end >= 0:
+                if end := _closing(page, tag, at):
                     buffer.append(" ")
-                    raw = tag
+                    raw, resume = tag, end.end()
             continue
         flush()
         if m.group(1):

@@ -321,6 +321,22 @@ def test_main_text(page, want):
     assert html_extract.main_text(page, None) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body><script>for(i=0;i<n;i++){f(i)}</script><article><p>Body</p></article>", "Body"),
+        ("<script>for(i=0;i<n;i++){f(i)}</script><p>Body</p><script>x()</script><p>more</p>", "Body\nmore"),
+        ("<script><!-- x=1; </script><p>Body</p>", "Body"),
+        ("<head><style>/* <!-- */ a<b{}</style><script>if(a<b)s='</head>'</script></head><p>a<script>i<n</script>b</p>", "ab"),
+        ("<svg><script>i<n</script><path d='M0'/></svg><p>Body</p>", "Body"),
+        ("<head><meta x=y><body><header>h</header><p>Body</p>", "Body"),
+        ("<p>a <span hidden><!-- x</span> b</p>", "a b"),
+    ],
+)
+def test_raw_elements_end_at_their_closing_tag(page, want):
+    assert html_extract.main_text(page, None) == want
+
+
 def test_hosts_vote_and_pages_without_the_path_use_their_own(spark):
     body = "<body><div class='a{}'><p>text of page {} is here</p></div></body>"
     rows = [(i, f"http://H.example.org/{i}", body.format(i, i), "x") for i in range(4)] + [(9, "http://h.example.org/9", "<body><section><p>other page</p></section></body>", "x"), (10, None, None, None), (11, "no url", "<p>t</p>", "y")]
