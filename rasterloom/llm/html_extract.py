@@ -14,7 +14,6 @@ from .common import materialise, table
 
 #: Hosts up to which the table of winners (about 100 bytes a host) is broadcast; beyond it the join is a sort-merge join.
 BROADCAST_HOSTS = 50_000
-SHARE = 0.8
 
 #: Fixed values of HTML: elements without content, of raw text, inside a line, and those that end an open <p>.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -155,26 +154,24 @@ def blocks(page: str):
 
 
 def own_path(nodes: list[_Open]) -> str:
-    """The path of the deepest container that holds at least SHARE of the page's text outside menus and the like."""
+    """The path of the deepest container that holds all of the page's text outside menus and the like."""
     total = nodes[0].size
     if not total:
         return ""
-    best = max((n for n in nodes if n.tag not in LEAF and n.size >= SHARE * total), key=lambda n: n.path.count(">"))
+    best = max((n for n in nodes if n.tag not in LEAF and n.size == total), key=lambda n: n.path.count(">"))
     return best.path
 
 
 def main_text(page: str | None, winner: str | None) -> str:
-    """Text of the containers on the winning path, or on the page's own one where the winner is not there."""
+    """Text of the containers on the winning path, or on the page's own one where the winner does not hold all of its text."""
     nodes, found = blocks(page or "")
     if not found:
         return ""
     inside = [False] * len(nodes)
     for path in (winner, own_path(nodes)):
-        hit = False
         for k, n in enumerate(nodes):
             inside[k] = path is not None and (n.path == path and n.tag not in LEAF or n.parent >= 0 and inside[n.parent])
-            hit = hit or inside[k]
-        if hit and any(inside[k] for _, k in found):
+        if all(inside[k] for _, k in found):
             break
     return "\n".join(text for text, k in found if inside[k])
 
@@ -203,8 +200,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """The main text of every page from its whole html: (page_id, url, text, n_chars).
 
     Each page votes for the generalised path (tags and first classes, digits as #) of the deepest
-    container with most of its text; per host the path with most votes wins, and pages are read
-    again along it. A page without the winning path uses its own. Menus, headers, footers,
+    container with all of its text; per host the path with most votes wins, and pages are read
+    again along it. A page where the winning path does not hold all of that text uses its own. Menus, headers, footers,
     sidebars, notices, adverts, forms, comments, scripts and the like are left out by element and by
     words in class, id and role. Blocks are joined by one newline; white space inside a block, also a
     line break, is one space.

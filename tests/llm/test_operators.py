@@ -337,6 +337,16 @@ def test_raw_elements_end_at_their_closing_tag(page, want):
     assert html_extract.main_text(page, None) == want
 
 
+def test_titles_and_leads_beside_the_body_stay():
+    lead, body, teaser = "lead " * 3, "body " * 17, "teaser"
+    page = f"<article><h1>T</h1><div class=lead>{lead}</div><div class=body>{body}</div></article>"
+    want = f"T\n{lead.strip()}\n{body.strip()}"
+    assert html_extract.own_path(html_extract.blocks(page)[0]) == ">article"
+    assert html_extract.main_text(page, None) == html_extract.main_text(page, ">article>div.body") == want
+    other = f"<body><div class=box><p>{teaser}</p></div><section><p>{body}</p></section></body>"
+    assert html_extract.main_text(other, ">body>div.box") == f"{teaser}\n{body.strip()}"
+
+
 def test_hosts_vote_and_pages_without_the_path_use_their_own(spark):
     body = "<body><div class='a{}'><p>text of page {} is here</p></div></body>"
     rows = [(i, f"http://H.example.org/{i}", body.format(i, i), "x") for i in range(4)] + [(9, "http://h.example.org/9", "<body><section><p>other page</p></section></body>", "x"), (10, None, None, None), (11, "no url", "<p>t</p>", "y")]
