@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 CAPACITY, END_ID = 1024, 2
+#: The added token of byte_bpe_50k.json, which its tokenizer reads inside texts too.
+ADDED = {"<|endoftext|>": 50256}
 #: Pieces of a shard, islands of each shard, migrations between them, solutions of an island, generations between migrations.
 SHARD, ISLANDS, MIGRATIONS, POPULATION, GENERATIONS = 4096, 3, 1, 4, 6
 #: Bins of a shard that are emptier than this are packed again together with those of other shards.
@@ -32,11 +34,11 @@ def pieces(docs: DataFrame, capacity: int, vocabulary: str | None, id_col: str,
 
         with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={} if vocabulary else ADDED)
         for batch in batches:
             owner, rows = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.array([*encoding.encode_ordinary(text or ""), END_ID], "<u4")
+                ids = np.array([*encoding.encode(text or "", allowed_special="all"), END_ID], "<u4")
                 start, k = 0, 0
                 while start < len(ids):
                     end = start + ((len(ids) - start - 1) % capacity + 1 if not k else capacity)

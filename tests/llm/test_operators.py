@@ -156,6 +156,21 @@ def test_packing_round_trip(spark, docs, empty):
     assert packing.pack(empty).collect() == []
 
 
+def test_ids_are_those_of_the_tokenizer_file_with_its_added_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark, rng = "<|endoftext|>", random.Random(4)
+    texts = [mark, f"a {mark} b", f"a  {mark}  \n b{mark}{mark}c", f"<|{mark}|> <|endoftext|", f"É☃ {mark}\u00a0𝄞 it's {mark}'s", "<|ENDOFTEXT|>"]
+    texts += ["".join(rng.choice((mark, " ", "\n", "ab", "12", "é", "'s", "<|", "|>")) for _ in range(60)) for _ in range(40)]
+    got = {r["doc_id"]: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [2]
+        assert (got[i]["length"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert tokenizer.encode(texts[1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 def test_packing_comes_close_to_the_bound(spark, data_dir):
     out = QUERIES["op5_best_fit_packing"](spark, data_dir).toPandas()
     assert out["sequence_id"].nunique() <= 1.01 * out["length"].sum() / 1024 + 2
