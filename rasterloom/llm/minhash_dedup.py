@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,8 @@ COORDINATES, MATCHES = 32, 14
 BITS = ("b0", "b1", "b2", "b3")
 #: How often a document passes on to its anchor's own anchor.
 JUMPS = 2
+#: By how much the leaders of a list grow from round to round.
+LEADERS = 32
 
 
 def _texts(batch) -> list[bytes]:
@@ -83,13 +87,51 @@ def _equal(a: str, b: str) -> F.Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have percent of their union in common."""
     near = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("xb")), "b")
     both = F.size(F.array_intersect("xa", "xb")).cast("long")
     return near.where(100 * both >= percent * (F.size("xa") + F.size("xb") - both)).select("a", "b")
 
 
+def _join_parts(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts (rep, comp) after new links (a, b): components of the graph of the components that the links connect."""
+    ends = parts.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), parts.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
+    moved = materialise(components(links.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+    renamed = parts.join(moved.withColumnRenamed("node", "comp"), "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp"))
+    return materialise(renamed)
+
+
+def _meet(asked: DataFrame, posted: DataFrame, key: list[str], near: F.Column, confirm: Callable, parts: DataFrame) -> DataFrame:
+    """parts joined by all confirmed pairs of rows that meet in a list and are near, without making the pairs inside a component.
+
+    asked, posted: (key, rep, company, ...), the rows of a list that look for partners and those that
+    are looked for; near: a condition on x of asked and y of posted, symmetric where both are in both.
+    In round 0 each list's posted row of most company leads, in round r its next LEADERS ** r or so,
+    drawn by hash. Rows of a list meet its leaders of other components only; pairs are confirmed and components
+    joined. A row whose list holds nothing but its own component drops out of the list, but a linked row
+    goes on meeting others. The rounds end when every posted row has led, so no pair between two components is left out.
+    """
+    lists = materialise(posted.groupBy(*key).agg(F.count("*").alias("many"), F.max(F.struct("company", (-F.col("rep")).alias("rep"))).alias("top")))
+    draw = (F.xxhash64("rep", *key).bitwiseAND((1 << 52) - 1) / float(1 << 52)) * F.col("many")
+    level = F.when(-F.col("top").getField("rep") == F.col("rep"), 0).otherwise(1 + F.floor(F.log(float(LEADERS), F.greatest(draw, F.lit(1.0))))).cast("int")
+    asked, posted = (materialise(t.join(lists, key).withColumn("level", level).drop("many", "top", "company")) for t in (asked, posted))
+    last = posted.agg(F.max("level")).first()[0]
+    for turn in range(0 if last is None else last + 1):
+        x, y = (t.join(parts, "rep") for t in (asked, posted.where(F.col("level") >= turn)))
+        held = materialise(y.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high")))
+        waits = materialise(x.join(held, key).where("low <> high or comp <> low").drop("low", "high"))
+        leads = materialise(y.where(F.col("level") == turn))
+        both = near & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.rep") != F.col("y.rep"))
+        for k in key:
+            both = both & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+        met = waits.alias("x").join(leads.hint("merge").alias("y"), both).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+        links = materialise(confirm(materialise(met)))
+        if not links.isEmpty():
+            parts = _join_parts(parts, links)
+    return parts
+
+
 def near_duplicates(
     docs: DataFrame, *, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES,
     id_col: str = "doc_id", text_col: str = "text",
@@ -100,8 +142,11 @@ def near_duplicates(
     shingle sets first collapse to one, that of the least doc_id. The rest post their rare
     coordinates (prefix_postings). Lists of a large family of copies would make all of its pairs, so
     each document takes as its anchor the one with most company that it meets. Documents of one
-    anchor are linked by their differences from it (_family_links), exactly; pairs of a list with
-    different anchors are kept from `matches` equal coordinates on and confirmed on full sets.
+    anchor are linked by their differences from it (_family_links), exactly; those of different
+    anchors from `matches` equal coordinates on, confirmed on full sets. In both, the documents of a list
+    meet its leaders in rounds (_meet), and pairs inside one component are never made. Lost links: a
+    pair of different anchors at exactly 0.8 has fewer than 14 of 32 equal coordinates with
+    probability 1e-6, a pair at 0.85 with 1e-8; a component loses nothing if other links hold it.
 
     A text with fewer words than a shingle has its whole sequence as its one shingle; a null,
     empty or blank text has none and is linked with nothing. Rows with a null doc_id are linked with
@@ -118,10 +163,8 @@ def near_duplicates(
     active = shared.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialise(full_sets(texts.join(active.hint("merge"), "doc_id", "left_semi"), shingle))
     anchors = _anchors(shared)
-    direct, met = _family_links(anchors, sets, percent)
-    pairs = materialise(met.unionByName(_other_pairs(shared, anchors, reps, matches, percent)))
-    parts = components(direct.unionByName(_confirm(pairs, sets, percent)))
-    groups = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"), "rep", "copies").where("copies > 1 or component <> rep").drop("rep", "copies")
+    parts = _other_links(shared, anchors, reps, sets, matches, percent, _family_links(anchors, sets, percent))
+    groups = reps.join(parts, "rep", "left").select(*key, F.coalesce("comp", "rep").alias("component"), "rep", "copies").where("copies > 1 or component <> rep").drop("rep", "copies")
     groups = materialise(groups)  # both sides of the last join are then plain shuffles, whose hot keys AQE splits
     out = rows.select("doc_id", *key).join(groups, key, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -138,67 +181,76 @@ def _anchors(shared: DataFrame) -> DataFrame:
     return materialise(out)
 
 
-def _family_links(anchors: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of documents with their anchor, and all pairs of one anchor that may be linked, without making all pairs of a family.
+def _family_links(anchors: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, comp): components of the links of documents with their anchor and of all links between documents of one anchor.
 
     A document is told by its delta d, the symmetric difference from its anchor h. With s = |x| + |y| and
     p the percentage, x and y are linked when (100 + p) |x ^ y| <= (100 - p) s, and |x ^ y| = |dx| + |dy| - 2 |dx & dy|.
     Documents near h (linked with it) need no pairs among themselves. If x is not near h, then any y
     linked with x shares more than p / (100 + p) of dy with dx, so y must have one of dx among the
     rarest |dy| - floor(p |dy| / (100 + p)) elements of dy. If y is not near h either, the same holds for x.
-    Only these prefixes meet, by anchor and element, and the join tests the inequality with an upper
-    bound of |dx & dy| from bit sketches; the pairs left are few more than the links.
+    Only these prefixes meet, by anchor and element (_meet), and the join tests the inequality with an upper
+    bound of |dx & dy| from bit sketches; the pairs left are few more than the links, and are
+    confirmed by the elements of their deltas that another document of the family has too.
     """
     x = anchors.join(sets, "rep").withColumnRenamed("shingles", "xs")
     h = sets.select(F.col("rep").alias("anchor"), F.col("shingles").alias("hs"))
     delta = materialise(
         x.join(h, "anchor").select("anchor", "rep", F.size("xs").alias("n"), F.size("hs").alias("nh"), F.concat(F.array_except("xs", "hs"), F.array_except("hs", "xs")).alias("d"))
     ).where(F.size("d") > 0).withColumn("near", (100 + percent) * F.size("d") <= (100 - percent) * (F.col("n") + F.col("nh")))
+    direct = components(delta.where("near").select(F.col("rep").alias("a"), F.col("anchor").alias("b")))
+    parts = materialise(anchors.join(direct.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp")))
     items = delta.select("anchor", "rep", F.explode("d").alias("e"))
     often = items.groupBy("anchor", "e").agg(F.count("*").alias("df")).where("df > 1")
-    common = items.join(often, ["anchor", "e"]).groupBy("anchor", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("c"))
-    rows = delta.join(common, ["anchor", "rep"]).select("anchor", "rep", "n", "nh", "near", F.size("d").alias("size"), F.transform("c", lambda c: c.e).alias("c"))
+    common = items.join(often, ["anchor", "e"]).groupBy("anchor", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("c"), F.sum("df").alias("company"))
+    rows = delta.join(common, ["anchor", "rep"]).select("anchor", "rep", "n", "nh", "near", "company", F.size("d").alias("size"), F.transform("c", lambda c: c.e).alias("c"))
     # A document this far from h has no link with one near h, whose size is at most 100 / p of either.
     reach = (100 + percent) * F.col("size") <= (100 - percent) * (F.col("n") + F.col("nh") + F.lit(200.0 / percent) * F.least("n", "nh"))
     bits = {b: F.expr(f"aggregate(filter(c, e -> (e & {len(BITS) - 1}) = {i}), 0L, (s, e) -> s | shiftleft(1L, cast(shiftright(e, 3) & 63 as int)))") for i, b in enumerate(BITS)}
-    rows = rows.withColumns(bits | {"reach": reach})
     # Elements of one document come first in the order from rare to frequent and meet nothing.
     head = F.col("size") - F.floor(percent * F.col("size") / (100 + percent)) - (F.col("size") - F.size("c"))
-    rows = materialise(rows.withColumn("head", F.greatest(F.lit(0), F.least(head, F.size("c"))).cast("int")))
-    far = rows.where("not near")
-    thin = ["anchor", "rep", "n", "size", "near", "head", F.size("c").alias("nc"), *BITS]
-    posted = rows.where("head > 0").select(*thin, F.explode(F.slice("c", F.lit(1), F.col("head"))).alias("e")).alias("y")
+    rows = materialise(rows.withColumns(bits | {"reach": reach, "head": F.greatest(F.lit(0), F.least(head, F.size("c"))).cast("int")}))
+    thin = ["anchor", "rep", "n", "size", "near", "head", "company", F.size("c").alias("nc"), *BITS]
+    posted = rows.where("head > 0").select(*thin, F.explode(F.slice("c", F.lit(1), F.col("head"))).alias("e"))
     asks = F.when(F.col("reach"), F.size("c")).otherwise(F.col("head"))
-    asked = far.where(asks > 0).select(*thin, F.posexplode(F.slice("c", F.lit(1), asks)).alias("place", "e")).alias("x")
+    asked = rows.where(~F.col("near") & (asks > 0)).select(*thin, F.posexplode(F.slice("c", F.lit(1), asks)).alias("place", "e"))
     s, gap = F.col("x.n") + F.col("y.n"), F.col("x.size") + F.col("y.size")
     only = lambda p, q: sum((F.bit_count(F.col(f"{p}.{b}").bitwiseAND(F.bitwise_not(f"{q}.{b}"))) for b in BITS), F.lit(0))
     most = F.least(F.col("x.nc") - only("x", "y"), F.col("y.nc") - only("y", "x"))
+    # Of two that are both far, the one that leads first meets the other.
+    later = F.struct("x.level", "x.rep") > F.struct("y.level", "y.rep")
     near = (
-        (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.rep") != F.col("y.rep"))
-        & (F.col("y.near") | (F.col("x.rep") < F.col("y.rep")) & (F.col("x.place") < F.col("x.head")))
+        (F.col("y.near") | later & (F.col("x.place") < F.col("x.head")))
         & ((100 + percent) * F.abs(F.col("x.size") - F.col("y.size")) <= (100 - percent) * s)
         & ((100 + percent) * (gap - 2 * most) <= (100 - percent) * s)
     )
-    met = asked.join(posted.hint("merge"), near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    return delta.where("near").select(F.col("rep").alias("a"), F.col("anchor").alias("b")), met.distinct()
+    deltas = rows.select("rep", "n", "size", "c")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        ends = (deltas.select(F.col("rep").alias(i), *(F.col(c).alias(f"{i}_{c}") for c in ("n", "size", "c"))) for i in "ab")
+        both = pairs.join(next(ends), "a").join(next(ends), "b")
+        apart = F.col("a_size") + F.col("b_size") - 2 * F.size(F.array_intersect("a_c", "b_c"))
+        return both.where((100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n"))).select("a", "b")
 
+    return _meet(asked, posted, ["anchor", "e"], near, confirm, parts)
 
-def _other_pairs(shared: DataFrame, anchors: DataFrame, reps: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents of different anchors that meet in a list, similar enough in size and signature.
+
+def _other_links(shared: DataFrame, anchors: DataFrame, reps: DataFrame, sets: DataFrame, matches: int, percent: int, parts: DataFrame) -> DataFrame:
+    """parts joined by the links of documents of different anchors that meet in a list, similar enough in size and signature.
 
     A pair is made in one list only, the least key that both have; the join drops the rest itself.
     """
     placed = shared.join(anchors, "rep")
     mixed = placed.groupBy("key").agg(F.min("anchor").alias("low"), F.max("anchor").alias("high")).where("low <> high").select("key")
-    keys = placed.join(mixed, "key").groupBy("rep", "anchor").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    keys = placed.join(mixed, "key").groupBy("rep", "anchor").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.max("fame").alias("company"))
     full = materialise(keys.join(reps.select("rep", "n_shingles", "sig"), "rep"))
-    x, y = (full.select("*", F.explode("keys").alias("key")).alias(name) for name in "xy")
-    meet = (
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.anchor") != F.col("y.anchor"))
+    rows = full.select("*", F.explode("keys").alias("key"))
+    near = (
+        (F.struct("x.level", "x.rep") > F.struct("y.level", "y.rep")) & (F.col("x.anchor") != F.col("y.anchor"))
         & (100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles"))
         & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")) & (_equal("x.sig", "y.sig") >= matches)
     )
-    return x.join(y.hint("merge"), meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    return _meet(rows, rows, ["key"], near, lambda pairs: _linked(pairs, sets, percent), parts)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,31 @@ def test_a_large_family_of_near_copies_against_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got} == want and 1 < len(set(want.values())) < 160
 
 
+def test_a_family_linked_among_itself_makes_few_pairs(spark, monkeypatch):
+    """Copies of a text that is not there itself: nearly all pairs are links, but few are made."""
+    rng, made, plain = random.Random(12), [], minhash_dedup._meet
+    base, rows, sets = prose(rng, 150), [], {}
+    for i in range(700):
+        copy = list(base)
+        for _ in range(rng.choice((1, 2, 3, 4, 5))):
+            copy[rng.randrange(len(copy))] = f"w{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+        sets[i] = {hash(tuple(copy[j : j + 4])) for j in range(147)}
+
+    def counted(asked, posted, key, near, confirm, parts):
+        def confirmed(pairs):
+            made.append(pairs.count())
+            return confirm(pairs)
+
+        return plain(asked, posted, key, near, confirmed, parts)
+
+    monkeypatch.setattr(minhash_dedup, "_meet", counted)
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == components(links, sets)
+    assert len(links) > 20 * len(rows) and sum(made) < 10 * len(rows)
+
+
 def test_null_ids_are_linked_with_nothing(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (None, None)]
     got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
