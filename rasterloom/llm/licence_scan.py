@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, table
+from .licence_digests import DIGESTS
 
 #: Texts of well-known licences, by SPDX id.
 LICENCES = {
@@ -65,10 +66,24 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution.""",
-    "LicenseRef-notice-MIT": "Released under the MIT License.",
-    "LicenseRef-notice-Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "LicenseRef-notice-GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LicenseRef-notice-CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "WTFPL": """DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+Version 2, December 2004
+
+Copyright (C) 2004 Sam Hocevar <sam@hocevar.net>
+
+Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.
+
+DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
+
+0. You just DO WHAT THE FUCK YOU WANT TO.""",
+    "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
 }
 LICENCES["BSD-3-Clause"] = LICENCES["BSD-2-Clause"].replace("2-Clause", "3-Clause").replace(
     "\n\nTHIS SOFTWARE",
@@ -84,39 +99,66 @@ SPELLINGS = (
     ("organise", "organize"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"),
     ("signalling", "signaling"), ("sub license", "sublicense"), ("utilisation", "utilization"), ("wilful", "willful"),
 )
-#: A whole line that gives a holder: it starts, after comment signs, with the word or sign and has a year or a placeholder.
-COPYRIGHT_LINE = r"(?:^|\n)[ \t*#/;-]*(?:copyright|\(c\)|©)[^\n]*(?:[12][0-9]{3}|<year>|\[year\]|<owner>)[^\n]*"
+LICENCES["MIT-0"] = LICENCES["MIT"].replace("MIT License", "MIT No Attribution").replace(", subject to the following conditions:", ".").replace(
+    "\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ""
+)
+
+
+def _any_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else "[ \\t]+" if c == " " else c for c in words)
+
+
+#: Whole lines that give a holder, after comment signs: copyright with a sign, a year, a placeholder or a name in
+#: capitals; a sign with a year or a placeholder; and all rights reserved. Lines of running text stay.
+_YEAR = r"(?:[12][0-9]{3}|[<\[{]|" + _any_case("year") + ")"
+COPYRIGHT_LINES = (
+    r"\n(?:[ \t*#/;-]*(?:"
+    + _any_case("copyright") + r"[ \t:]*(?:\([cC]\)|©|" + _YEAR + "|" + _any_case("by") + r"[ \t])[^\n]*"
+    + r"|Copyright(?:[ \t]+(?:[A-Z][a-z][^ \t\n\r]*|&|and))+[ \t\r.]*"
+    + r"|(?:\([cC]\)|©)[^\n]*" + _YEAR + r"[^\n]*"
+    + "|" + _any_case("all rights reserved") + r"[ \t\r.]*)\n)+"
+)
 #: Everything in ASCII but letters and digits, general punctuation and the no-break space.
 GAP = r"[\x00-/:-`{-\x7F\x{A0}\x{2000}-\x{206F}]+"
 
 
 def canonical(col) -> F.Column:
     """Lower case (A-Z), without copyright lines, punctuation and white space as single spaces, one spelling of each word."""
-    text = F.regexp_replace(ascii_lower(F.coalesce(col, F.lit(""))), COPYRIGHT_LINE, "\n")
+    text = F.coalesce(col, F.lit(""))
+    lines = F.regexp_replace(F.concat(F.lit("\n"), text, F.lit("\n")), COPYRIGHT_LINES, "\n")
+    text = ascii_lower(F.when(ascii_lower(text).rlike(r"copyright|\(c\)|©|reserved"), lines).otherwise(text))
     text = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, GAP, " ")), F.lit(" "))
     for other, one in SPELLINGS:
         text = F.replace(text, F.lit(f" {other} "), F.lit(f" {one} "))
     return F.trim(text)
 
 
-def known_digests(spark: SparkSession, licences: dict[str, str]) -> DataFrame:
-    """(licence_id, canonical_sha256) of the known texts, each digest once, with the least id."""
-    texts = spark.createDataFrame(sorted(licences.items()), "licence_id string, text string")
-    return texts.groupBy(F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256")).agg(F.min("licence_id").alias("licence_id"))
+def forms(licences: dict[str, str]) -> list[tuple[str, str]]:
+    """(licence_id, text) of each licence, and of each without the title, its first paragraph, where that is a line."""
+    short = [(k, rest) for k, (title, _, rest) in ((k, v.strip().partition("\n\n")) for k, v in licences.items()) if rest and "\n" not in title and len(title) < 80]
+    return sorted([*licences.items(), *short])
+
+
+def known_digests(spark: SparkSession, licences: dict[str, str], digests: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """(licence_id, canonical_sha256) of the known texts in all their forms and of further digests, each digest once, with the least id."""
+    texts = spark.createDataFrame(forms(licences), "licence_id string, text string").select("licence_id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
+    more = spark.createDataFrame(list(digests), "licence_id string, canonical_sha256 string")
+    return texts.unionByName(more).groupBy("canonical_sha256").agg(F.min("licence_id").alias("licence_id"))
 
 
-def scan_licences(docs: DataFrame, licences: dict[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licences(docs: DataFrame, licences: dict[str, str] = LICENCES, digests: tuple[tuple[str, str], ...] = DIGESTS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Which documents are, as a whole, the text of a known licence: (doc_id, canonical_sha256, n_words, licence_id).
 
-    licence_id is null for any other document, also an empty or null one. The known digests are
+    licences are texts, digests (licence_id, canonical_sha256) those of longer ones; both are parameters and
     a fixed list of the caller's, held in memory by the driver already, and are broadcast; texts
-    are neither shuffled nor sorted. Rows that repeat give a row each, an empty table none.
+    are neither shuffled nor sorted. licence_id is null for any other document, also an empty or null one.
+    Rows that repeat give a row each, an empty table none; other columns are ignored.
     """
     text = canonical(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("canon")).select(
         "doc_id", F.sha2("canon", 256).alias("canonical_sha256"), F.when(F.col("canon") == "", 0).otherwise(F.char_length("canon") - F.char_length(F.replace("canon", F.lit(" "))) + 1).cast("long").alias("n_words"),
     )
-    known = known_digests(docs.sparkSession, LICENCES if licences is None else licences)
+    known = known_digests(docs.sparkSession, licences, digests)
     return rows.join(F.broadcast(known), "canonical_sha256", "left").select("doc_id", "canonical_sha256", "n_words", "licence_id")
 
 
@@ -125,8 +167,8 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _canonical_sql(col: str) -> str:
-    low = f"translate(coalesce({col}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    text = f"regexp_replace({low}, '{COPYRIGHT_LINE}', chr(10), 'g')"
+    text = f"regexp_replace(chr(10) || coalesce({col}, '') || chr(10), '{COPYRIGHT_LINES}', chr(10), 'g')"
+    text = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     text = f"(' ' || trim(regexp_replace({text}, '{GAP}', ' ', 'g')) || ' ')"
     for other, one in SPELLINGS:
         text = f"replace({text}, ' {other} ', ' {one} ')"
@@ -134,8 +176,9 @@ def _canonical_sql(col: str) -> str:
 
 
 ORACLE_SQL = f"""
-WITH k(licence_id, text) AS (VALUES {", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in sorted(LICENCES.items()))}),
-known AS (SELECT sha256({_canonical_sql("text")}) AS digest, min(licence_id) AS licence_id FROM k GROUP BY 1),
+WITH k(licence_id, text) AS (VALUES {", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in forms(LICENCES))}),
+m(licence_id, digest) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in DIGESTS)}),
+known AS (SELECT digest, min(licence_id) AS licence_id FROM (SELECT licence_id, sha256({_canonical_sql("text")}) AS digest FROM k UNION ALL SELECT licence_id, digest FROM m) GROUP BY 1),
 d AS (SELECT doc_id, {_canonical_sql("text")} AS canon FROM documents)
 SELECT doc_id, sha256(canon) AS canonical_sha256, CAST(CASE WHEN canon = '' THEN 0 ELSE len(canon) - len(replace(canon, ' ', '')) + 1 END AS BIGINT) AS n_words, licence_id
 FROM d LEFT JOIN known ON sha256(canon) = digest
