@@ -121,12 +121,15 @@ def _meet(asked: DataFrame, posted: DataFrame, key: list[str], near: F.Column, c
         x, y = (t.join(parts, "rep") for t in (asked, posted.where(F.col("level") >= turn)))
         held = materialise(y.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high")))
         waits = materialise(x.join(held, key).where("low <> high or comp <> low").drop("low", "high"))
+        if waits.isEmpty():
+            break
         leads = materialise(y.where(F.col("level") == turn))
         both = near & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.rep") != F.col("y.rep"))
         for k in key:
             both = both & (F.col(f"x.{k}") == F.col(f"y.{k}"))
         met = waits.alias("x").join(leads.hint("merge").alias("y"), both).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        links = materialise(confirm(materialise(met)))
+        met = materialise(met)
+        links = met if met.isEmpty() else materialise(confirm(met))
         if not links.isEmpty():
             parts = _join_parts(parts, links)
     return parts
