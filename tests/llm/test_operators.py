@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -381,12 +382,93 @@ def test_titles_and_leads_beside_the_body_stay():
     lead, body, teaser = "lead " * 3, "body " * 17, "teaser"
     page = f"<article><h1>T</h1><div class=lead>{lead}</div><div class=body>{body}</div></article>"
     want = f"T\n{lead.strip()}\n{body.strip()}"
-    assert html_extract.own_path(html_extract.blocks(page)[0]) == ">article"
+    assert html_extract.own_path(page) == ">article"
     assert html_extract.main_text(page, None) == html_extract.main_text(page, ">article>div.body") == want
     other = f"<body><div class=box><p>{teaser}</p></div><section><p>{body}</p></section></body>"
     assert html_extract.main_text(other, ">body>div.box") == f"{teaser}\n{body.strip()}"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>x</title><body><header>top</header><article><p>main text here</p></article>", "main text here"),
+        ("<p>a <span class='share'><span>x</span> Share this</span> b</p>", "a b"),
+        ("<p>a <a class='share-link' href=x>Share</a> b <button>Copy</button>c</p>", "a b c"),
+        ("<p>x <math><mi>y</mi></math> z</p>", "x y z"),
+        ("<body><article><header><h1>Title</h1></header><p>text of it</p><footer>f</footer></article>", "Title\ntext of it"),
+        ("<body><article><p>text</p><div class='social-history'><p>long enough</p></div><div class='social-buttons'>s</div></article>", "text\nlong enough"),
+        ("<body><div><a href=1>Home</a> <a href=2>About</a></div><div class=c><h1>T</h1><p>Some text that is long</p></div><div>(c) 2020</div>", "T\nSome text that is long"),
+        ("<body><div class='sponsored-story'><p>The only long text of this page.</p></div><div class=ad>buy</div>", "The only long text of this page."),
+        ("<body><div class='ad-box'><p>An advert longer than the text.</p></div><p>Text.</p>", "Text."),
+        ("<body><main><p>one</p></main><section id=comments><article class=comment><p>hm, a much longer remark</p></article></section>", "one"),
+        ("<body><p>one<ul><li><a href=x>two</a> and more<li>three</ul><table><tr><td>four<td>five</table>", "one\ntwo and more\nthree\nfour\nfive"),
+        ("<table><tr><td><div>a</td></div><td>b</table>c", "a\nb\nc"),
+        ("<p hidden>x</p><p style='display: none'>y</p><p aria-hidden=true>z</p><p data-hidden=true>seen</p>", "seen"),
+    ],
+)
+def test_containers_marks_and_missing_ends(page, want):
+    assert html_extract.main_text(page, None) == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 100_000, "<script>" * 100_000, "<span hidden><span></span>" * 20_000, "<svg><script>" * 20_000, "<head><script></head></script>" * 20_000, "<table><tr><td><div>" * 20_000 + "</td>" * 20_000, "<p class='" * 20_000 + "'>", "<!-- x <![CDATA[ y" * 20_000 + ">"],
+)
+def test_long_and_deep_pages_end_soon(page):
+    import time
+
+    began = time.process_time()
+    assert html_extract.main_text(page + "<p>deep &amp; long</p>", None).endswith("deep & long")
+    assert time.process_time() - began < 5
+
+
+def test_every_page_against_a_plain_parser(spark, data_dir):
+    """The pages of the test table have their text in an article of headings and paragraphs, with missing end tags."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.found, self.now = False, [], []
+
+        def end(self):
+            if text := " ".join("".join(self.now).split()):
+                self.found.append(text)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("article", "p", "h1", "h2", "li", "ul", "div"):
+                self.end()
+            self.inside = self.inside or tag == "article"
+            self.now.append(" " if tag == "br" else "")
+
+        def handle_endtag(self, tag):
+            if tag in ("article", "p", "h1", "h2", "li", "ul", "div"):
+                self.end()
+            self.inside = self.inside and tag != "article"
+
+        def handle_data(self, data):
+            self.now += [data] * self.inside
+
+    got = {r.page_id: (r.text, r.n_chars) for r in QUERIES["op1_html_extract"](spark, data_dir).collect()}
+    pages = spark.read.parquet(f"{data_dir}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for r in pages:
+        plain = Plain()
+        plain.feed(r.html or "")
+        plain.close()
+        plain.end()
+        assert got[r.page_id] == ("\n".join(plain.found), len("\n".join(plain.found)))
+
+
+def test_a_host_of_two_layouts(spark):
+    one = "<body><div class=menu><a href=1>a</a></div><div class=post><h1>T{0}</h1><p>text {0} of the first layout</p></div></body>"
+    two = "<body><div class=post>teaser {0}</div><section class=story><p>text {0} of the second layout, longer</p></section></body>"
+    rows = [(i, "http://h/", (one if i < 5 else two).format(i)) for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T{i}\ntext {i} of the first layout" if i < 5 else f"teaser {i}\ntext {i} of the second layout, longer" for i in range(8)}
+
+
 def test_hosts_vote_and_pages_without_the_path_use_their_own(spark):
     body = "<body><div class='a{}'><p>text of page {} is here</p></div></body>"
     rows = [(i, f"http://H.example.org/{i}", body.format(i, i), "x") for i in range(4)] + [(9, "http://h.example.org/9", "<body><section><p>other page</p></section></body>", "x"), (10, None, None, None), (11, "no url", "<p>t</p>", "y")]
@@ -423,3 +505,34 @@ def test_neighbours_against_brute_force(spark, tmp_path):
     few = ann_search.usable(spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>, rank int"), "vec_id", "embedding")
     assert ann_search.search(few, few).count() == 6
     assert ann_search.search(few.limit(0), few.limit(0)).count() == 0
+
+
+def test_recall_above_a_shard_with_a_hot_vector_and_two_lengths(spark):
+    """20,000 and more different vectors in two cells, a third of the rows one vector, a tenth of them of another length."""
+    rng = np.random.default_rng(7)
+    hot, n = rng.normal(size=24), 24_000
+    v = [*rng.normal(size=(n - 2_000, 24)), *rng.normal(size=(2_000, 16)), *[hot] * 12_000]
+    rows = pa.table({"vec_id": np.arange(len(v)), "v": pa.array(v, pa.list_(pa.float64()))})
+    vectors = ann_search.usable(spark.createDataFrame(rows).repartition(8), "vec_id", "v")
+    asked = [*range(0, n, 400), n + 5, n + 6]
+    got = ann_search.search(vectors, vectors.where(F.col("vec_id").isin(asked))).toPandas()
+    hits = 0
+    for q in asked:
+        ids = np.array([i for i in (range(n - 2_000, n) if n - 2_000 <= q < n else [*range(n - 2_000), *range(n, len(v))]) if i != q])
+        gap = np.sqrt(((np.stack([v[i] for i in ids]) - v[q]) ** 2).sum(axis=1))
+        want = ids[np.lexsort((ids, gap))[:10]]
+        own = got[got["query_id"] == q].sort_values("rank")
+        assert list(own["rank"]) == list(range(1, 11)) and np.array_equal(own["score"], [np.sqrt(((v[i] - v[q]) ** 2).sum()) for i in own["vec_id"]])
+        assert q < n or list(own["vec_id"]) == list(want)
+        hits += len(set(want) & set(own["vec_id"]))
+    assert hits >= 0.95 * 10 * len(asked)
+
+
+def test_a_shard_verifies_few_vectors_and_finds_the_nearest():
+    v = np.random.default_rng(8).normal(size=(16_384, 64))
+    shard, asked = ann_search.Shard(v), v[:40] + 0.01
+    found = shard.nearest(asked, 11)
+    want = [set(np.argsort(((v - q) ** 2).sum(axis=1))[:10].tolist()) for q in asked]
+    assert np.mean([len(w & set(f.tolist())) for w, f in zip(want, found)]) >= 9.5
+    assert np.mean([len(f) for f in found]) < 0.05 * len(v)
+    assert (shard.reach(asked * 3) <= np.sqrt(((v[:, None] - asked * 3) ** 2).sum(axis=2)).min(axis=0)).all()
