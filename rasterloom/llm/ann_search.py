@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 #: Projections, growth of a window in middle spreads of a projection, share of the possible collisions that enough vectors must reach before windows stop.
-PROJECTIONS, STEP, THRESHOLD = 64, 0.3, 0.7
+PROJECTIONS, STEP, THRESHOLD = 64, 0.5, 0.7
 #: Vectors of a shard that are enough: so many for each neighbour asked for, and this share of the shard.
 ENOUGH, ENOUGH_SHARE = 10, 0.02
 #: Different vectors of a shard, queries of a block, queries counted at a time.
