@@ -16,8 +16,10 @@ from .common import materialise, table
 CAPACITY, END_ID = 1024, 2
 #: The added token of byte_bpe_50k.json, which its tokenizer reads inside texts too.
 ADDED = {"<|endoftext|>": 50256}
-#: Pieces of a shard, islands of each shard, migrations between them, solutions of an island, generations between migrations.
-SHARD, ISLANDS, MIGRATIONS, POPULATION, GENERATIONS = 4096, 3, 1, 4, 6
+#: Pieces of a shard, islands of each shard, migrations between them, solutions of an island.
+SHARD, ISLANDS, MIGRATIONS, POPULATION = 4096, 3, 2, 4
+#: An island goes on until so many generations in a row have brought its best solution less than this gain, in bins or in squared fill.
+PATIENCE, GAIN = 8, 0.05
 #: Bins of a shard that are emptier than this are packed again together with those of other shards.
 POOR = 0.97
 
@@ -120,7 +122,42 @@ class Packing:
     def _rebuild(self, mother, father, enters, broken) -> np.ndarray:
         kept = ~broken & ~enters
         bins = [b for part, mask in ((mother, kept), (father, enters)) for b in self._groups(part, mask)]
-        return self.genes(self.best_fit(bins, np.flatnonzero(broken & ~enters).tolist()))
+        bins, free = self._swap(bins, np.flatnonzero(broken & ~enters))
+        return self.genes(self.best_fit(bins, free))
+
+    def _swap(self, bins: list[list[int]], free: np.ndarray) -> tuple[list[list[int]], list[int]]:
+        """Displaced items take the place of one item, or of two, of a bin that they fill better, which is displaced instead; the largest choose first."""
+        if not bins or not len(free):
+            return bins, free.tolist()
+        order = np.fromiter((i for b in bins for i in b), np.int64)
+        many = np.fromiter(map(len, bins), np.int64, len(bins))
+        owner = np.repeat(np.arange(len(bins)), many)
+        room = self.capacity - np.bincount(owner, weights=self.sizes[order], minlength=len(bins)).astype(np.int64)
+        first, second = [np.arange(len(order))], [np.full(len(order), -1)]
+        for step in (1, 2):
+            at = np.flatnonzero(owner[step:] == owner[:-step]) if len(order) > step else np.zeros(0, np.int64)
+            first.append(at)
+            second.append(at + step)
+        first, second = np.concatenate(first), np.concatenate(second)
+        # Only bins with room can gain; out and most are what they lose at least and at most for it.
+        some = room[owner[first]] > 0
+        first, second = first[some], second[some]
+        out = self.sizes[order[first]] + np.where(second >= 0, self.sizes[order[second]], 0)
+        most = out + room[owner[first]]
+        left, loose = sorted(free.tolist()), []
+        for i in left:
+            size = self.size_list[i]
+            gain = np.where((out < size) & (size <= most), size - out, 0)
+            k = int(gain.argmax()) if len(gain) else 0
+            if not len(gain) or not gain[k]:
+                loose.append(i)
+                continue
+            b = int(owner[first[k]])
+            gone = {int(order[j]) for j in (first[k], second[k]) if j >= 0}
+            bins[b] = [j for j in bins[b] if j not in gone] + [i]
+            loose += gone
+            most[owner[first] == b] = -1
+        return bins, loose
 
     @staticmethod
     def _groups(genes: np.ndarray, mask: np.ndarray) -> list[list[int]]:
@@ -132,18 +169,20 @@ class Packing:
 
 
 def evolve(sizes: np.ndarray, capacity: int, population: list[np.ndarray], seed: int) -> list[np.ndarray]:
-    """GENERATIONS of one island: a child replaces the worst solution if it is better; stops at the lower bound."""
+    """One island: a child replaces the worst solution if it is better, as long as that gains something; stops at the lower bound."""
     packing, rng = Packing(sizes, capacity), np.random.default_rng(seed)
     least = -(-int(sizes.sum()) // capacity)
     while len(population) < POPULATION:
         population.append(packing.genes(packing.best_fit([], range(len(sizes)))) if not population else packing.seed(rng))
     scored = sorted(((packing.fitness(g), k, g) for k, g in enumerate(population)), key=lambda x: x[:2], reverse=True)[:POPULATION]
-    for turn in range(GENERATIONS):
-        if -scored[0][0][0] <= least:
-            break
+    turn, idle = 0, 0
+    while idle < PATIENCE and -scored[0][0][0] > least:
+        turn += 1
         a, b = rng.choice(len(scored), 2, replace=False)
         child = packing.mutate(packing.cross(scored[min(a, b)][2], scored[max(a, b)][2], rng), rng)
+        best = scored[0][0]
         scored = sorted([*scored, (packing.fitness(child), -turn, child)], key=lambda x: x[:2], reverse=True)[:POPULATION]
+        idle = 0 if scored[0][0][0] > best[0] or scored[0][0][1] > best[1] + GAIN else idle + 1
     return [g for _, _, g in scored]
 
 
