@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 from .kernels import WordHasher
 
-#: Bounds of what is fitted: labelled rows (those of least digest), entries of each learned lexicon.
-MAX_TRAIN, MAX_LEXICON, FOLDS = 20_000, 3_000, 3
-PREFIX = 5
+#: Bound of the labelled rows that are fitted (those of least digest), folds, bytes of a word beginning.
+MAX_TRAIN, FOLDS, PREFIX = 20_000, 3, 5
+#: From what score on a document is predicted toxic.
+CUT = 0.3
 #: Insults, and words that address the reader, in English, German, French and Spanish.
 INSULTS = (
     "asshole", "bastard", "clown", "crap", "disgusting", "dumb", "filth", "fool", "freak", "garbage", "hate", "idiot", "idiots", "imbecile", "kill", "liar", "loser", "losers",
@@ -198,7 +199,7 @@ class Model:
                     x[own] = features([texts[i] for i in own], words, insults, second, *lexicons[k])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fold"), batch.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "fold", "toxic", "x"])
 
-        rows = train.mapInArrow(measure, "doc_id long, fold int, toxic int, x array<double>").orderBy("doc_id", "fold", "toxic").limit(2 * MAX_TRAIN).toPandas()
+        rows = train.mapInArrow(measure, "doc_id long, fold int, toxic int, x array<double>").orderBy("doc_id").toPandas()
         self.trees = None
         y = rows["toxic"].to_numpy(float)
         if len(y) and 0 < y.sum() < len(y):
@@ -219,7 +220,10 @@ class Model:
 
 
 def _lexicons(train: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Words and word beginnings that mark toxic rows: for each fold those learned without it, and last those of all folds."""
+    """Words and word beginnings that mark toxic rows: for each fold those learned without it, and last those of all folds.
+
+    All that two toxic rows have at log odds over 1.5 are taken; the training rows, of bounded number, bound them.
+    """
 
     def tally(batches):
         words, counts = Words(), {}
@@ -245,9 +249,9 @@ def _lexicons(train: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
         hit = sum((F.col(f"n{k}1") for k in inside), F.lit(0))
         miss = sum((F.col(f"n{k}0") for k in inside), F.lit(0))
         odds = F.log((hit + 0.5) / (bad + 1.0)) - F.log((miss + 0.5) / (good + 1.0))
-        marked.append(F.when((hit >= 2) & (odds > 1.5), odds * F.sqrt(hit)).alias(f"w{out}"))
-    weighed = wide.select("kind", "key", *marked).withColumn("w", F.greatest(*(f"w{k}" for k in range(FOLDS + 1)))).where("w is not null")
-    top = weighed.where("kind = 0").orderBy(F.desc("w"), "key").limit(MAX_LEXICON).unionByName(weighed.where("kind = 1").orderBy(F.desc("w"), "key").limit(MAX_LEXICON)).toPandas()
+        marked.append(F.when((hit >= 2) & (odds > 1.5), odds).alias(f"w{out}"))
+    weighed = wide.select("kind", "key", *marked).where(F.coalesce(*(f"w{k}" for k in range(FOLDS + 1))).isNotNull())
+    top = weighed.toPandas()
     pick = lambda kind, out: np.sort(top.loc[(top["kind"] == kind) & top[f"w{out}"].notna(), "key"].to_numpy(np.int64).view(np.uint64))
     return [(pick(0, out), pick(1, out)) for out in range(FOLDS + 1)]
 
@@ -256,33 +260,39 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     """(doc_id, text, toxic, fold) of labelled rows whose crc32(doc_id as text) mod 4 is not 2.
 
     Of more than max_train such labels those of least digest are used; this bounded table is
-    broadcast to the scan of the texts. Contradicting labels of a doc_id count as toxic.
+    broadcast to the scan of the texts. Contradicting labels of a doc_id count as toxic; of rows that
+    repeat a doc_id the least text is learned from, so there are no more rows than labels.
     """
     name = F.col("doc_id").cast("string")
-    use = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(name) % 4 != 2)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    use = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(name) % 4 != 2)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     use = use.orderBy(F.md5(name), "doc_id").limit(max_train).withColumn("fold", (F.crc32(F.concat(F.lit("fold:"), name)) % FOLDS).cast("int"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(use), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(use), "doc_id")
+    return found.groupBy("doc_id", "toxic", "fold").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(materialise(training_rows(docs, labels)))
 
 
-def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 if score >= threshold), from the whole text of each row.
-
-    A null text counts as empty and is scored like it. Rows that repeat are scored alike; an empty
-    table gives no rows; all columns of docs are kept, but for older ones named score or predicted.
-    Without labels of both kinds every score is the share of toxic labels (0 without labels).
-    """
-    kept = docs.drop("score", "predicted")
+def score(model: Model, text_col: str = "text") -> F.Column:
+    """The score, 0 to 1, of each row's whole text; a null text counts as empty."""
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         words = Words()
         return pd.Series(model([(t or "").encode() for t in texts], words), dtype=float)
 
-    out = kept.withColumn("score", scored(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return scored(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def score_toxicity(docs: DataFrame, model: Model, threshold: float = CUT) -> DataFrame:
+    """docs with score (0 to 1) and predicted (1 if score >= threshold), from the whole text of each row.
+
+    A null text counts as empty and is scored like it. Rows that repeat are scored alike; an empty
+    table gives no rows; all columns of docs are kept, but for older ones named score or predicted.
+    Without labels of both kinds every score is the share of toxic labels (0 without labels).
+    """
+    out = docs.drop("score", "predicted").withColumn("score", score(model))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
