@@ -10,28 +10,37 @@ from .common import WORD, materialise, table
 BUCKETS = 4096
 
 
+def source_positions(sizes: DataFrame) -> DataFrame:
+    """sizes (source, source_size) with position, the source's place from 0 by code point, null last.
+
+    Sources are cut into ranges, ranked inside each, and moved on by the sizes of the ranges before: however
+    many sources there are, only the number of ranges, which is that of partitions, meets in one task.
+    """
+    ranges = materialise(sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()))
+    inside = ranges.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return inside.join(starts, "range").select("source", "source_size", (F.col("start") + F.col("place")).alias("position"))
+
+
 def source_targets(sizes: DataFrame, share: float, max_epochs: int, weights: tuple[float, ...]) -> DataFrame:
     """Targets of sources (source, source_size): share of all sizes, dealt by weight, none above max_epochs sizes.
 
-    Water-filling in closed form: sources fill up in the order of cap / weight, so with the first k
-    of them at their caps the rest share what is left by weight; the level is right at the first k
-    whose next source stays below its cap, and falls from there on. Windows run over one row per source.
+    Water-filling: sources whose share by weight exceeds their cap are clamped at it, and what they can't
+    take is dealt to the others by weight, until none is above. The level (size for each unit of weight) only rises, so
+    a clamped source stays so; each round is one aggregate over the sources.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("position", F.row_number().over(order) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("position") % len(weights) + 1).cast("int"))
-    capped = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(max_epochs))
-    fill = Window.orderBy(F.col("cap") / F.col("weight"), "position")
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    after = fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    level = (F.sum("source_size").over(every) * share - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    return (
-        capped.withColumn("level", level)
-        .withColumn("free", F.col("level") * F.col("weight") <= F.col("cap"))
-        .withColumn("first", F.max(F.when(F.col("free"), F.col("level"))).over(every))
-        .select("source", "source_size", F.coalesce(F.least("cap", F.col("first") * F.col("weight")), "cap").alias("target"))
-    )
+    placed = materialise(source_positions(sizes).withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(max_epochs)))
+    whole = placed.agg(F.sum("source_size")).first()[0] or 0
+    level, before = 0.0, None
+    while level != before:
+        above = F.lit(level) * F.col("weight") > F.col("cap")
+        clamped, free = placed.agg(F.sum(F.when(above, F.col("cap"))), F.sum(F.when(~above, F.col("weight")))).first()
+        if not free:
+            return placed.select("source", "source_size", F.col("cap").alias("target"))
+        level, before = max(level, (whole * share - (clamped or 0.0)) / free), level
+    return placed.select("source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def mix(
