@@ -22,23 +22,34 @@ def unescape(col) -> F.Column:
 
 
 def _jumps(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Pointer doubling by self-joins: (tree, node, depth, total) of every node below a root, and the jumps of 1, 2, 4, ... replies up."""
+    """Pointer doubling by self-joins: (tree, node, depth, total) of every node below a root, and the jumps of 1, 2, 4, ... replies up.
+
+    Where replies are left that reach no root in as many jumps as there are rows, they lie on or below a
+    cycle; then the least node of each cycle is made a root and the jumps are done again.
+    """
     known = nodes.select("tree", F.col("node").alias("parent"))
     step = materialise(
         nodes.join(known.withColumn("has", F.lit(True)), ["tree", "parent"], "left")
-        .select("tree", "node", F.when(F.col("has"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
+        .select("tree", "node", F.when(F.col("has"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"), F.col("node").alias("low"))
     )
     rows, levels, done = step.count(), [], step.where("up is null")
     open_rows = step.where("up is not null")
     while 2 ** len(levels) <= rows and not open_rows.isEmpty():
         levels.append(open_rows.select("tree", "node", "up"))
-        above = done.select("tree", F.col("node").alias("up"), F.lit(None).cast("long").alias("next"), F.col("depth").alias("d"), F.col("total").alias("t"))
-        above = above.unionByName(open_rows.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("total").alias("t")))
+        above = done.select("tree", F.col("node").alias("up"), F.lit(None).cast("long").alias("next"), F.col("depth").alias("d"), F.col("total").alias("t"), F.col("low").alias("l"))
+        above = above.unionByName(open_rows.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("total").alias("t"), F.col("low").alias("l")))
         joined = materialise(
-            open_rows.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("t")).alias("total"))
+            open_rows.join(above, ["tree", "up"])
+            .select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("t")).alias("total"), F.least("low", "l").alias("low"))
         )
         done = done.unionByName(joined.where("up is null"))
         open_rows = joined.where("up is not null")
+    if not open_rows.isEmpty():
+        # A node that so many jumps lead to is on a cycle, and all of that cycle is above it.
+        turning = open_rows.select("tree", F.col("up").alias("node")).distinct()
+        roots = open_rows.join(turning, ["tree", "node"]).select("tree", F.col("low").alias("node")).distinct().withColumn("cut", F.lit(True))
+        cut = nodes.join(roots, ["tree", "node"], "left").withColumn("parent", F.when(F.col("cut").isNull(), F.col("parent"))).drop("cut")
+        return _jumps(materialise(cut))
     return done.select("tree", "node", "depth", "total"), levels
 
 
@@ -50,8 +61,8 @@ def reply_paths(nodes: DataFrame, branches: int | None) -> DataFrame:
     each way, and no array of a path is ever carried.
     """
     placed, levels = _jumps(nodes)
-    parents = nodes.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
-    leaves = placed.join(parents, ["tree", "node"], "left_anti")
+    parents = levels[0].select("tree", F.col("up").alias("node")).distinct() if levels else None
+    leaves = placed if parents is None else placed.join(parents, ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy((F.col("total") / F.col("depth")).desc(), F.col("depth").desc(), "node")
     if branches is not None:
         leaves = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
@@ -68,9 +79,14 @@ def format_conversations(nodes: DataFrame, branches: int | None = 1) -> DataFram
     nodes: (tree string, node long, parent long, role, text, score double). Returns (tree, leaf,
     formatted, loss), loss the spans (start from 0, length) in code points of assistant texts.
     A null role or text is an empty one, a null score is 0; a parent that is not there makes a
-    root; replies on a cycle have no root and are in no path. An empty table gives no rows.
+    root, and so does the least node of a cycle. Of rows that repeat a (tree, node) the least by parent,
+    role, text and score counts; rows without a tree or node are in no path. An empty table gives no rows; other columns
+    are ignored. One path is one text, so its turns meet in one task: a path must fit in an executor's memory.
     """
-    nodes = nodes.withColumn("score", F.coalesce("score", F.lit(0.0)))
+    nodes = nodes.select("tree", "node", "parent", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score")).where("tree is not null and node is not null")
+    if not nodes.groupBy("tree", "node").count().where("count > 1").isEmpty():
+        first = F.min(F.struct("parent", "role", "text", "score")).alias("first")
+        nodes = materialise(nodes.groupBy("tree", "node").agg(first).select("tree", "node", "first.*"))
     paths = reply_paths(nodes.select("tree", "node", "parent", "score"), branches)
     body = escape(F.coalesce("text", F.lit("")))
     turns = paths.join(nodes.select("tree", "node", "role", body.alias("body")), ["tree", "node"])
@@ -103,7 +119,7 @@ def linear_threads(conversations: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as reply trees: each turn replies to the one before it.
 
     Turns that repeat follow each other by role and text; a null turn comes first; rows with a null
-    conv_id are one conversation.
+    conv_id are one conversation. A conversation's turns are numbered in one task, which sorts and can spill.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long"))
