@@ -166,7 +166,6 @@ def test_packing_round_trip(spark, docs, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     out = packing.pack(docs).toPandas()
     assert out.groupby("sequence_id")["length"].sum().max() <= 1024
     ordered = out.sort_values(["sequence_id", "offset"])
@@ -202,12 +201,44 @@ def test_packing_comes_close_to_the_bound(spark, data_dir):
     assert out["sequence_id"].nunique() <= 1.01 * out["length"].sum() / 1024 + 2
 
 
-def test_evolution_never_loses_items_and_helps():
-    sizes = np.sort(np.random.default_rng(5).integers(150, 500, 300))[::-1]
-    first = packing.Packing(sizes, 1024)
-    greedy = first.genes(first.best_fit([], range(len(sizes))))
-    best = packing.evolve(sizes, 1024, [], 1)[0]
-    assert first.fitness(best) >= first.fitness(greedy) and first.fill(best).max() <= 1 and len(best) == 300
+def islands(sizes, capacity=1024):
+    population = []
+    for k in range(3):
+        population = packing.evolve(sizes, capacity, population, k)
+    return packing.Packing(sizes, capacity), population[0]
+
+
+def test_evolution_beats_best_fit_decreasing_where_that_is_far_from_the_optimum():
+    rng = np.random.default_rng(5)
+    for n in (30, 100, 400):
+        # Triplets that fill a bin exactly: the optimum is n bins.
+        a = rng.integers(380, 490, n)
+        b = np.array([rng.integers(250, 1024 - x - 249) for x in a])
+        sizes = np.sort(np.concatenate((a, b, 1024 - a - b)))[::-1]
+        made, best = islands(sizes)
+        greedy = made.genes(made.best_fit([], range(len(sizes))))
+        assert made.fill(best).max() <= 1 and len(best) == len(sizes) and made.fill(best).sum() * 1024 == sizes.sum()
+        assert made.fill(greedy).size >= 1.1 * n and made.fill(best).size <= 1.04 * n + 1
+
+
+def test_evolution_against_the_optimum_of_small_instances():
+    def optimum(sizes, capacity):
+        # Least (bins, room used in the last) over subsets.
+        best = [(0, capacity)] + [(len(sizes) + 1, 0)] * (2 ** len(sizes) - 1)
+        for mask in range(1, 2 ** len(sizes)):
+            for i, x in enumerate(sizes):
+                if mask >> i & 1:
+                    bins, used = best[mask ^ (1 << i)]
+                    best[mask] = min(best[mask], (bins, used + x) if used + x <= capacity else (bins + 1, x))
+        return best[-1][0]
+
+    rng, off = np.random.default_rng(6), 0
+    for _ in range(30):
+        sizes = np.sort(rng.integers(3, 14, 11))[::-1]
+        made, best = islands(sizes, 20)
+        off += made.fill(best).size - optimum(sizes.tolist(), 20)
+        assert made.fill(best).max() <= 1
+    assert off <= 1
 
 
 # 6: chat
@@ -226,7 +257,18 @@ def test_branches_are_ranked_by_score(spark):
     rows = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "bad", 0.1), ("t", 3, 1, "assistant", "good", 0.9), ("t", 4, 3, "user", "more", None), ("t", 5, 9, "user", "orphan", 0.2), ("c", 1, 2, "user", "x", 0.0), ("c", 2, 1, "user", "y", 0.0)]
     nodes = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
     best = {(r.tree, r.leaf): [t.text for t in r.turns] for r in chat_format.read_back(chat_format.format_conversations(nodes, 2)).collect()}
-    assert best == {("t", 4): ["q", "good", "more"], ("t", 5): ["orphan"]}
+    assert best == {("t", 4): ["q", "good", "more"], ("t", 5): ["orphan"], ("c", 2): ["x", "y"]}
+    assert chat_format.format_conversations(nodes.limit(0)).collect() == []
+
+
+def test_cycles_repeated_rows_long_texts_and_clashing_columns(spark):
+    long = "[INST] word " * 200_000
+    rows = [("a", 3, 1, "user", "c", 1.0), ("a", 1, 2, "user", "a", 1.0), ("a", 2, 3, "user", "b", 1.0), ("a", 9, 2, "user", "tail", 2.0), ("a", None, 1, "user", "lost", 9.0)]
+    rows += [("b", 1, None, "user", long, 0.0), ("b", 1, None, "user", "z", 0.0), ("b", 2, 1, "assistant", None, None), ("b", 2, 1, "assistant", None, None), (None, 1, None, None, "n", None)]
+    clash = [(*r, "x", "y", 1) for r in rows]
+    nodes = spark.createDataFrame(clash, "tree string, node long, parent long, role string, text string, score double, turns string, formatted string, depth int")
+    got = {(r.tree, r.leaf): [t.text for t in r.turns] for r in chat_format.read_back(chat_format.format_conversations(nodes, None)).collect()}
+    assert got == {("a", 9): ["a", "c", "b", "tail"], ("b", 2): [long, ""]}
 
 
 # 7: toxicity
@@ -252,6 +294,100 @@ def test_toxicity_of_hard_rows(spark, docs, empty):
     assert {r["score"] for r in toxicity.score_toxicity(docs, none).select("score").collect()} == {0.0}
 
 
+def plain_words(text: str) -> list[tuple[bytes, bytes]]:
+    """(as written, as read) of the words of a text."""
+    read = bytes.maketrans(bytes(range(65, 91)) + b"013457@$", bytes(range(97, 123)) + b"oieastas")
+    return [(w, w.translate(read)) for w in re.findall(rb"[A-Za-z0-9@$\x80-\xff]+", text.encode())]
+
+
+def test_features_against_a_plain_version():
+    rng, words = random.Random(21), toxicity.Words()
+    parts = ["you", "YOU", "idiot", "1d10t", "scum", "Idiots!", "hello", "x", "b", "é", "$uck", "great", "greatest", "a1", "42", "…", "*", "sh!t", "du", "@"]
+    texts = ["", "  ", "x", "long " * 5000 + "you idiot"] + [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    learned, stem = {b"hello", b"a1", b"b"}, {b"great"}
+    learned = {w.translate(bytes.maketrans(b"013457@$", b"oieastas")) for w in learned}
+    key = lambda ws: np.unique(np.array([words.one(w.decode()) for w in ws], np.uint64))
+    scanned = next(iter(toxicity.scan([b"greatest"], words)))
+    insults, second = {w.encode() for w in toxicity.INSULTS}, {w.encode() for w in toxicity.SECOND_PERSON}
+    got = toxicity.features([t.encode() for t in texts], words, key(insults), key(second), key(learned), np.unique(scanned[3]))
+    for text, row in zip(texts, got):
+        data, found = text.encode(), plain_words(text)
+        n, size = max(1, len(found)), max(1, len(data))
+        fixed, lex, stems = [w in insults for _, w in found], [w in learned for _, w in found], [len(w) > 5 and w[:5] in stem for _, w in found]
+        bad, you = [any(x) for x in zip(fixed, lex, stems)], [w in second for _, w in found]
+        near = [any(you[j] for j in range(max(0, i - 5), min(len(found), i + 6)) if j != i) for i in range(len(found))]
+        close = sum(x and y for x, y in zip(bad, near))
+        mixed = [bool(re.search(rb"[0-9@$]", w) and re.search(rb"[A-Za-z\x80-\xff]", w)) for w, _ in found]
+        count = lambda signs: sum(data.count(c.encode()) for c in signs)
+        upper, lower = sum(65 <= c < 91 for c in data), sum(97 <= c < 123 for c in data)
+        hits = [sum(x) for x in (fixed, lex, stems, bad)]
+        want = [np.log1p(n), *hits, *(x / n for x in hits), sum(you) / n, close, close / n, upper / max(1, upper + lower), count("!?") / size, count("*#@$%&_~^+=<>|") / size]
+        want += [count(".,;:'\"-()") / size, sum(48 <= c < 58 for c in data) / size, sum(c >= 128 for c in data) / size]
+        want += [sum(mixed) / n, sum(x and y for x, y in zip(mixed, bad)), sum(len(w) == 1 for w, _ in found) / n]
+        assert np.allclose(row, want), text[:80]
+
+
+def test_trees_against_a_plain_version():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 4)), 2)
+    y = (x[:, 1] * x[:, 2] + 0.3 * rng.normal(size=300) > 0).astype(float)
+    made = toxicity.Trees(x, y, rounds=3, depth=2, ridge=2.0, rate=0.2)
+    b, score = made._bin(x), np.full(300, made.start)
+    assert (b == np.array([[sum(v > e for e in made.edges[c]) for c, v in enumerate(row)] for row in x])).all()
+    for splits, value in made.trees:
+        p = 1 / (1 + np.exp(-score))
+        g, h = y - p, np.maximum(p * (1 - p), 1e-6)
+        # The root's split has the best gain of all features and cuts.
+        gains = {}
+        for c in range(4):
+            for cut in range(int(b[:, c].max())):
+                left = b[:, c] <= cut
+                if h[left].sum() >= 0.5 and h[~left].sum() >= 0.5:
+                    gains[c, cut] = g[left].sum() ** 2 / (h[left].sum() + 2) + g[~left].sum() ** 2 / (h[~left].sum() + 2)
+        root = (int(splits[0][0][0]), int(splits[0][1][0]))
+        assert gains[root] == pytest.approx(max(gains.values()))
+        leaf = []
+        for row in b:
+            at = 0
+            for feature, cut in splits:
+                at = 2 * at + int(row[feature[at]] > cut[at])
+            leaf.append(at)
+        leaf = np.array(leaf)
+        for k in range(4):
+            own = leaf == k
+            assert value[k] == pytest.approx(0.2 * g[own].sum() / (h[own].sum() + 2))
+        score += value[leaf]
+    assert np.allclose(made(x), score)
+
+
+def test_lexicons_against_plain_counts(spark):
+    rng, words = random.Random(5), toxicity.Words()
+    rows = []
+    for i in range(300):
+        toxic = i % 3 == 0
+        bag = [rng.choice(("kind", "neutral", "weather", "station")) for _ in range(6)] + [rng.choice(("nastily", "vile", "neutral")) for _ in range(3 * toxic)]
+        rows.append((i, " ".join(bag), int(toxic), i % 5 % toxicity.FOLDS))
+    train = spark.createDataFrame(rows, "doc_id long, text string, toxic int, fold int").repartition(3)
+    got = toxicity._lexicons(train)
+    for out in range(toxicity.FOLDS + 1):
+        own = [r for r in rows if r[3] != out]
+        bad, good = (sum(r[2] == t for r in own) for t in (1, 0))
+        want = set()
+        for w in {w for r in own for w in r[1].split()}:
+            hit, miss = (sum(r[2] == t and w in r[1].split() for r in own) for t in (1, 0))
+            if hit >= 2 and np.log((hit + 0.5) / (bad + 1)) - np.log((miss + 0.5) / (good + 1)) > 1.5:
+                want.add(w)
+        assert want == {"nastily", "vile"} and set(got[out][0].tolist()) == {words.one(w) for w in want} and len(got[out][1]) == 1
+
+
+def test_training_rows_are_one_for_each_label(spark):
+    docs = spark.createDataFrame([(i % 40, f"t{i}" if i % 7 else None, "a") for i in range(400)], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 0)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels).collect()
+    assert {r.doc_id for r in rows} == {i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2} and len(rows) == len({r.doc_id for r in rows})
+    assert len(toxicity.training_rows(docs, labels, 10).collect()) <= 10
+
+
 def test_isotonic_is_monotone_and_calibrated():
     rng = np.random.default_rng(1)
     score = rng.normal(size=2000)
