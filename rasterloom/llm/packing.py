@@ -18,8 +18,9 @@ CAPACITY, END_ID = 1024, 2
 ADDED = {"<|endoftext|>": 50256}
 #: Pieces of a shard, islands of each shard, migrations between them, solutions of an island.
 SHARD, ISLANDS, MIGRATIONS, POPULATION = 4096, 3, 2, 4
-#: An island goes on until so many generations in a row have brought its best solution less than this gain, in bins or in squared fill.
-PATIENCE, GAIN = 8, 0.05
+#: An island goes on until so many generations in a row, or as many as deal with so many items, have brought its best
+#: solution less than this gain, in bins or in squared fill.
+PATIENCE, DEALT, GAIN = 8, 4096, 0.05
 #: Bins of a shard that are emptier than this are packed again together with those of other shards.
 POOR = 0.97
 
@@ -64,10 +65,10 @@ class Packing:
         self.sizes, self.capacity, self.size_list = sizes, capacity, sizes.tolist()
 
     def best_fit(self, bins: list[list[int]], items) -> list[list[int]]:
-        """Puts items (largest first) each into the fullest bin that has room, or a new one."""
+        """Puts items, in their order (ascending: largest first), each into the fullest bin that has room, or a new one."""
         room = [self.capacity - sum(self.size_list[i] for i in b) for b in bins]
         free = sorted((r, k) for k, r in enumerate(room) if r)
-        for i in sorted(items):
+        for i in items:
             at = bisect_left(free, (self.size_list[i], -1))
             if at < len(free):
                 r, k = free.pop(at)
@@ -111,19 +112,19 @@ class Packing:
         chosen = rng.choice(good, max(1, int(len(good) * rng.uniform(0.1, 0.4))), replace=False)
         enters = np.isin(father, chosen)
         broken = np.isin(mother, np.unique(mother[enters]))
-        return self._rebuild(mother, father, enters, broken)
+        return self._rebuild(mother, father, enters, broken, rng)
 
     def mutate(self, genes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """The emptiest bins and a few others are emptied and their items best-fitted."""
         fill = self.fill(genes)
-        drop = np.union1d(np.argsort(fill)[: max(2, len(fill) // 50)], rng.choice(len(fill), max(1, len(fill) // 50), replace=False))
-        return self._rebuild(genes, genes, np.zeros(len(genes), bool), np.isin(genes, drop))
+        drop = np.union1d(np.argsort(fill)[: max(2, len(fill) // 50)], rng.choice(len(fill), min(len(fill), rng.integers(1, max(3, len(fill) // 50) + 1)), replace=False))
+        return self._rebuild(genes, genes, np.zeros(len(genes), bool), np.isin(genes, drop), rng)
 
-    def _rebuild(self, mother, father, enters, broken) -> np.ndarray:
+    def _rebuild(self, mother, father, enters, broken, rng) -> np.ndarray:
         kept = ~broken & ~enters
         bins = [b for part, mask in ((mother, kept), (father, enters)) for b in self._groups(part, mask)]
         bins, free = self._swap(bins, np.flatnonzero(broken & ~enters))
-        return self.genes(self.best_fit(bins, free))
+        return self.genes(self.best_fit(bins, rng.permutation(free).tolist() if rng.random() < 0.2 else sorted(free)))
 
     def _swap(self, bins: list[list[int]], free: np.ndarray) -> tuple[list[list[int]], list[int]]:
         """Displaced items take the place of one item, or of two, of a bin that they fill better, which is displaced instead; the largest choose first."""
@@ -176,12 +177,13 @@ def evolve(sizes: np.ndarray, capacity: int, population: list[np.ndarray], seed:
         population.append(packing.genes(packing.best_fit([], range(len(sizes)))) if not population else packing.seed(rng))
     scored = sorted(((packing.fitness(g), k, g) for k, g in enumerate(population)), key=lambda x: x[:2], reverse=True)[:POPULATION]
     turn, idle = 0, 0
-    while idle < PATIENCE and -scored[0][0][0] > least:
+    while idle < max(PATIENCE, DEALT // len(sizes)) and -scored[0][0][0] > least:
         turn += 1
         a, b = rng.choice(len(scored), 2, replace=False)
         child = packing.mutate(packing.cross(scored[min(a, b)][2], scored[max(a, b)][2], rng), rng)
-        best = scored[0][0]
-        scored = sorted([*scored, (packing.fitness(child), -turn, child)], key=lambda x: x[:2], reverse=True)[:POPULATION]
+        best, made = scored[0][0], packing.fitness(child)
+        if made not in [f for f, _, _ in scored]:  # as good as another is mostly the same, and would crowd the island
+            scored = sorted([*scored, (made, -turn, child)], key=lambda x: x[:2], reverse=True)[:POPULATION]
         idle = 0 if scored[0][0][0] > best[0] or scored[0][0][1] > best[1] + GAIN else idle + 1
     return [g for _, _, g in scored]
 

@@ -129,7 +129,7 @@ def cut_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
         for start, size in sorted((g[0], g[1]) for g in gone or ()):
             out.append(data[at:start])
             at = max(at, start + size)
-        return b"".join([*out, data[at:]]).decode(errors="ignore") if gone else text
+        return b"".join([*out, data[at:]]).decode() if gone else text
 
     return docs.join(gone, "doc_id", "left").withColumn("text", without("text", "_gone")).drop("_gone").select(docs.columns)
 
