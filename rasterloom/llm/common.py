@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import materialise
 
+#: Different links, of 16 bytes each, up to which one task joins them; more are joined by steps of aggregates and joins, with the same result.
+ONE_TASK = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -22,18 +26,35 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
+def _join_links(batches):
+    """(node, component) of all links (u, v) of the batches: roots hook onto lesser roots until no link joins two."""
+    links = [np.stack([b.column(c).to_numpy() for c in "uv"]) for b in batches if b.num_rows]
+    if not links:
+        return
+    nodes, ends = np.unique(np.concatenate(links, axis=1), return_inverse=True)
+    ends, root = ends.reshape(2, -1), np.arange(len(nodes))
+    while (apart := root[ends[0]] != root[ends[1]]).any():
+        a, b = root[ends[:, apart]]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(further := root[root], root):
+            root = further
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a, b): one row (node, component), component the least node.
 
-    Alternates the large-star and small-star steps until the links no longer change. Every step is
-    an aggregate and an equi-join on thin rows. The aggregates are written first, so that both sides of
-    a join are plain shuffles and AQE can split a hub's links.
+    Up to ONE_TASK links are joined in one task. Beyond, large-star and small-star steps alternate until the links
+    no longer change. Every step is an aggregate and an equi-join on thin rows. The aggregates are written
+    first, so that both sides of a join are plain shuffles and AQE can split a hub's links.
     """
     e = materialise(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
     )
     mark = _mark(e)
-    while mark[0]:
+    if mark[0] <= ONE_TASK:
+        return e.coalesce(1).mapInArrow(_join_links, "node long, component long")
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = materialise(both.join(low.hint("merge"), "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())

@@ -19,7 +19,7 @@ BITS = ("b0", "b1", "b2", "b3")
 #: How often a document passes on to its anchor's own anchor.
 JUMPS = 2
 #: By how much the leaders of a list grow from round to round.
-LEADERS = 32
+LEADERS = 256
 
 
 def _texts(batch) -> list[bytes]:
@@ -118,12 +118,12 @@ def _meet(asked: DataFrame, posted: DataFrame, key: list[str], near: F.Column, c
     asked, posted = (materialise(t.join(lists, key).withColumn("level", level).drop("many", "top", "company")) for t in (asked, posted))
     last = posted.agg(F.max("level")).first()[0]
     for turn in range(0 if last is None else last + 1):
-        x, y = (t.join(parts, "rep") for t in (asked, posted.where(F.col("level") >= turn)))
+        y = materialise(posted.where(F.col("level") >= turn).join(parts, "rep"))
         held = materialise(y.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high")))
-        waits = materialise(x.join(held, key).where("low <> high or comp <> low").drop("low", "high"))
+        waits = materialise(asked.join(parts, "rep").join(held, key).where("low <> high or comp <> low").drop("low", "high"))
         if waits.isEmpty():
             break
-        leads = materialise(y.where(F.col("level") == turn))
+        leads = y.where(F.col("level") == turn)
         both = near & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.rep") != F.col("y.rep"))
         for k in key:
             both = both & (F.col(f"x.{k}") == F.col(f"y.{k}"))

@@ -152,6 +152,19 @@ def test_a_family_linked_among_itself_makes_few_pairs(spark, monkeypatch):
     assert len(links) > 20 * len(rows) and sum(made) < 10 * len(rows)
 
 
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_components_in_one_task_and_by_steps(spark, monkeypatch, one_task):
+    from rasterloom.llm import common
+
+    monkeypatch.setattr(common, "ONE_TASK", one_task)
+    rng = random.Random(14)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(500, 500 + k) for k in range(1, 90)] + [(k, k + 1) for k in range(700, 760)] + [(7, 7)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()}
+    assert got == {n: c for n, c in components(links, {n for link in links for n in link}).items() if any(n in link and link[0] != link[1] for link in links)}
+    if one_task:
+        assert common.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_null_ids_are_linked_with_nothing(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (None, None)]
     got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
