@@ -17,10 +17,10 @@ CAPACITY, END_ID = 1024, 2
 #: The added token of byte_bpe_50k.json, which its tokenizer reads inside texts too.
 ADDED = {"<|endoftext|>": 50256}
 #: Pieces of a shard, islands of each shard, migrations between them, solutions of an island.
-SHARD, ISLANDS, MIGRATIONS, POPULATION = 4096, 3, 2, 4
+SHARD, ISLANDS, MIGRATIONS, POPULATION = 4096, 2, 2, 4
 #: An island goes on until so many generations in a row, or as many as deal with so many items, have brought its best
 #: solution less than this gain, in bins or in squared fill.
-PATIENCE, DEALT, GAIN = 8, 4096, 0.05
+PATIENCE, DEALT, GAIN = 3, 4096, 0.05
 #: Bins of a shard that are emptier than this are packed again together with those of other shards.
 POOR = 0.97
 
