@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +14,8 @@ from .kernels import WordHasher
 MAX_TRAIN, FOLDS, PREFIX = 20_000, 3, 5
 #: From what score on a document is predicted toxic.
 CUT = 0.3
+#: Texts that a worker holds and measures at a time.
+SLICE = 256
 #: Insults, and words that address the reader, in English, German, French and Spanish.
 INSULTS = (
     "asshole", "bastard", "clown", "crap", "disgusting", "dumb", "filth", "fool", "freak", "garbage", "hate", "idiot", "idiots", "imbecile", "kill", "liar", "loser", "losers",
@@ -34,6 +35,10 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$
 NEAR = 5
 
 
+def _bytes(texts: pa.Array) -> list[bytes]:
+    return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+
+
 class Words(WordHasher):
     """Words are runs of letters, digits, non-ASCII bytes, @ and $, hashed with A-Z lowered and LEET read as letters."""
 
@@ -191,12 +196,13 @@ class Model:
         def measure(batches):
             words = Words()
             for batch in batches:
-                texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
                 fold = np.array(batch.column("fold").to_pylist(), np.int64)
-                x = np.zeros((len(texts), 21))
+                x = np.zeros((len(fold), 21))
                 for k in range(FOLDS):
                     own = np.flatnonzero(fold == k)
-                    x[own] = features([texts[i] for i in own], words, insults, second, *lexicons[k])
+                    for at in range(0, len(own), SLICE):
+                        some = own[at : at + SLICE]
+                        x[some] = features(_bytes(batch.column("text").take(pa.array(some))), words, insults, second, *lexicons[k])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fold"), batch.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "fold", "toxic", "x"])
 
         rows = train.mapInArrow(measure, "doc_id long, fold int, toxic int, x array<double>").orderBy("doc_id").toPandas()
@@ -227,8 +233,8 @@ def _lexicons(train: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
 
     def tally(batches):
         words, counts = Words(), {}
-        for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            texts = _bytes(batch.column("text"))
             fold, toxic = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("fold", "toxic"))
             for first, n, h, p, _, _, owner in scan(texts, words):
                 for kind, keys in ((0, h), (1, p)):
@@ -277,10 +283,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def score(model: Model, text_col: str = "text") -> F.Column:
     """The score, 0 to 1, of each row's whole text; a null text counts as empty."""
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
         words = Words()
-        return pd.Series(model([(t or "").encode() for t in texts], words), dtype=float)
+        # Some texts at a time: a batch of long ones is large already, and their features are larger.
+        parts = [model(_bytes(texts.slice(at, SLICE)), words) for at in range(0, len(texts), SLICE)]
+        return pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
     return scored(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
