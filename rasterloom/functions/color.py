@@ -55,10 +55,6 @@ def hex_of_lab(l, a, b) -> Column:
     return F.concat(*out)
 
 
-def distance(*pairs: tuple[Column, Column]) -> Column:
-    return F.sqrt(sum(((x - y) * (x - y) for x, y in pairs), d(0)))
-
-
 def saturation(r="r", g="g", b="b") -> Column:
     """(max - min) / max of the channels, 0 for black."""
     high, low = F.greatest(r, g, b), F.least(r, g, b)

@@ -83,6 +83,12 @@ def scale_factor(width: Column, height: Column, mode: Column, longest: int = 220
     return F.when(side * factor > longest, longest / side).otherwise(factor)
 
 
+def scaled_side(side: Column, width: Column, height: Column, mode: Column) -> Column:
+    """A side at working size, rounded half up; within 1 % a picture is left alone."""
+    factor = scale_factor(width, height, mode)
+    return F.when(F.abs(factor - 1.0) <= 0.01, side).otherwise(F.greatest(F.lit(1), round_half_up(side * factor))).cast("int")
+
+
 def fixed2(v: Column) -> Column:
     """A number rounded half up to 2 decimals."""
     return F.floor(v * 100.0 + d(0.5)) / 100.0
@@ -111,8 +117,3 @@ def path_length(points: str, closed: Column) -> Column:
     last = F.when(closed, n - 1).otherwise(n - 2)
     leg = lambda i: F.hypot(F.get(points, (i + 1) % n).x - F.get(points, i).x, F.get(points, (i + 1) % n).y - F.get(points, i).y)
     return F.when(last < 0, d(0)).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), d(0), lambda s, i: s + leg(i)))
-
-
-def bounding_area(points: str) -> Column:
-    x, y = F.transform(points, lambda p: p.x), F.transform(points, lambda p: p.y)
-    return F.coalesce((F.array_max(x) - F.array_min(x)) * (F.array_max(y) - F.array_min(y)), d(0))

@@ -1,52 +1,13 @@
-"""Clusters of colours: assignment, Lloyd steps, areas, borders, roles."""
+"""Clusters of colours as rows: families and roles, neighbours."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.color import lab, near_black, near_white
+from ..functions.color import near_black, near_white
 from ..kernels.clusters import families
-from .regions import with_neighbours
-
-MERGE_DISTANCE = 14.0
-
-
-def with_lab(px: DataFrame) -> DataFrame:
-    """Adds lab_l, lab_a and lab_b as 32-bit floats, the precision clusters are formed in."""
-    return px.withColumns(dict(zip(("lab_l", "lab_a", "lab_b"), (c.cast("float") for c in lab("r", "g", "b")))))
-
-
-def nearest(centers: str = "centers") -> Column:
-    """Number of the nearest of an array of (l, a, b) structs, ties to the first."""
-    gap = lambda c: reduce(lambda s, k: s + (F.col(f"lab_{k}") - c[k]) * (F.col(f"lab_{k}") - c[k]), "lab", F.lit(0.0))
-    return F.array_position(F.transform(centers, gap), F.array_min(F.transform(centers, gap))).cast("int") - 1
-
-
-def assign(px: DataFrame, centers: DataFrame, mark: Column) -> DataFrame:
-    """Adds cluster to marked pixels, from centers (image_id, centers array of l, a, b); null elsewhere."""
-    return px.join(centers.select("image_id", "centers"), "image_id").withColumn("cluster", F.when(mark, nearest())).drop("centers")
-
-
-def center_array(centers: DataFrame) -> DataFrame:
-    """(image_id, cluster, l, a, b) rows as one array for each image."""
-    ordered = F.array_sort(F.collect_list(F.struct("cluster", "l", "a", "b")))
-    return centers.groupBy("image_id").agg(F.transform(ordered, lambda c: F.struct(c.l.alias("l"), c.a.alias("a"), c.b.alias("b"))).alias("centers"))
-
-
-def lloyd_step(labelled: DataFrame) -> DataFrame:
-    """(image_id, cluster, n, l, a, b): the mean of each cluster's pixels."""
-    means = (F.avg(F.col(f"lab_{k}").cast("double")).alias(k) for k in "lab")
-    return labelled.where("cluster is not null").groupBy("image_id", "cluster").agg(F.count("*").alias("n"), *means)
-
-
-def cluster_area(labelled: DataFrame, centers: DataFrame) -> DataFrame:
-    """centers with area; clusters without pixels have 0."""
-    area = labelled.where("cluster is not null").groupBy("image_id", "cluster").agg(F.count("*").alias("area"))
-    return centers.join(area, ["image_id", "cluster"], "left").withColumn("area", F.coalesce("area", F.lit(0)).cast("long"))
 
 
 def cluster_roles(clusters: DataFrame) -> DataFrame:
@@ -69,13 +30,6 @@ def cluster_roles(clusters: DataFrame) -> DataFrame:
     return out.withColumn("role", role)
 
 
-def border_tally(labelled: DataFrame, region: str = "region") -> DataFrame:
-    """(image_id, region, cluster, neighbour, n): pixel sides that each region shares with other clusters."""
-    px = with_neighbours(labelled, "cluster", corners=False)
-    sides = px.where(F.col(region).isNotNull()).select("image_id", region, "cluster", F.explode(F.array("n_", "s_", "w_", "e_")).alias("neighbour"))
-    return sides.where("neighbour is not null and neighbour <> cluster").groupBy("image_id", region, "cluster", "neighbour").agg(F.count("*").alias("n"))
-
-
 def argmax_neighbour(tally: DataFrame, region: str = "region") -> DataFrame:
     """The neighbour with the longest border of each region, ties to the lowest cluster."""
     best = F.max_by(F.struct("neighbour", "n"), F.struct("n", -F.col("neighbour"))).alias("best")

@@ -10,16 +10,21 @@ from pyspark.sql import functions as F
 from .functions import color as C
 from .functions import names
 from .functions import scalars as S
+from .kernels import clusters as K
 from .kernels import lines as L
-from .kernels.clusters import kmeans, merge_small
-from .operators import preprocess as P
-from .operators import regions as R
+from .kernels import masks as M
+from .kernels import prepare as P
+from .kernels import white as W
+from .kernels.color import lab as lab_of
+from .kernels.color import saturation
+from .kernels.filters import bilateral, median3 as median_of, resized
 from .operators import segment as G
-from .operators import structure as T
 from .operators import svg as V
+from .operators.pictures import per_picture
 from .plans.options import Options, build_options, preset_table, resolve
 from .plans.vectorize import vectorize, vectorize_layers
-from .sources.fixtures import rasters
+from .sources.fixtures import pictures
+from .sources.images import jobs, split_supported
 from .streaming.queue import job_status
 
 QUERIES: dict = {}
@@ -45,93 +50,120 @@ def r6(c) -> Column:
 
 
 R_SQL = """
-img AS (SELECT p_partkey AS image_id, p_partkey // 20 AS k, CAST(p_size AS BIGINT) AS sz, 10 + p_size % 6 AS hw FROM part WHERE p_partkey % 20 = 0),
-grid AS (SELECT image_id, k, sz, hw, x.i AS x, y.i AS y, abs(x.i - 24) AS dx FROM img, range(48) x(i), range(48) y(i)),
-rule AS (SELECT *, CASE WHEN y BETWEEN 42 AND 44 AND dx <= hw + 3 AND k % 2 = 0 THEN 200 WHEN y BETWEEN 38 AND 39 AND dx <= hw + 6 AND k % 2 = 1 THEN 200
+img AS (SELECT p_partkey AS image_id, p_partkey // 6 % 2 AS odd, CAST(p_size AS BIGINT) AS sz, 10 + p_size % 6 AS hw, CAST(48 + 6 * (p_partkey % 3) AS INT) AS w, CAST(48 + 6 * (p_partkey % 2) AS INT) AS h FROM part),
+grid AS (SELECT img.*, x.i AS x, y.i AS y, abs(x.i - 24) AS dx FROM img, range(60) x(i), range(54) y(i) WHERE x.i < w AND y.i < h),
+rule AS (SELECT *, CASE WHEN y BETWEEN 42 AND 44 AND dx <= hw + 3 AND odd = 0 THEN 200 WHEN y BETWEEN 38 AND 39 AND dx <= hw + 6 AND odd = 1 THEN 200
   WHEN NOT (dx <= hw AND y BETWEEN 6 AND 38) THEN 255 WHEN dx = hw OR y = 6 OR y = 38 THEN 12 WHEN y BETWEEN 33 AND 37 THEN 245 WHEN x BETWEEN 16 AND 20 AND y BETWEEN 10 AND 14 THEN 245
   WHEN y = 22 AND x BETWEEN 26 AND 29 THEN 245 WHEN x = 18 AND y BETWEEN 18 AND 28 THEN 245 WHEN x = 31 AND y = 12 THEN -1 WHEN x > 24 THEN -2 ELSE -1 END AS c FROM grid),
-px AS (SELECT image_id, 48 AS w, 48 AS h, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(48 * y + x AS BIGINT) AS idx,
+px AS (SELECT image_id, w, h, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(w * y + x AS BIGINT) AS idx,
   CAST(CASE c WHEN -1 THEN 120 + sz % 50 WHEN -2 THEN 60 + sz % 50 ELSE c END AS INT) AS r, CAST(CASE c WHEN -1 THEN 20 + sz WHEN -2 THEN 10 ELSE c END AS INT) AS g,
   CAST(CASE c WHEN -1 THEN 30 WHEN -2 THEN 15 ELSE c END AS INT) AS b FROM rule)"""
 SAT = "CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE (greatest(r, g, b) - least(r, g, b)) / CAST(greatest(r, g, b) AS DOUBLE) END"
-BORDER = "(x = 0 OR y = 0 OR x = 47 OR y = 47)"
+BORDER = "(x = 0 OR y = 0 OR x = w - 1 OR y = h - 1)"
 
 
 def comp_sql(name: str, mark: str, source: str) -> str:
-    """CTEs that give {name}: the marked pixels of source with comp, the least idx of their region."""
+    """CTEs that give {name}: the marked pixels of source with comp, the least idx of their region.
+
+    Runs of rows are walked from those without a run above; a region's first run is one of them.
+    """
     return f"""
 {name}_g AS (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS grp FROM {source} WHERE {mark}),
 {name}_r AS (SELECT image_id, y, grp, min(x) AS xs, max(x) AS xe, min(idx) AS rid FROM {name}_g GROUP BY ALL),
-{name}_e AS (SELECT a.image_id, a.rid AS u, b.rid AS v FROM {name}_r a JOIN {name}_r b ON a.image_id = b.image_id AND abs(a.y - b.y) = 1 AND a.xs <= b.xe AND b.xs <= a.xe),
-{name}_c(image_id, rid, root) AS (SELECT image_id, rid, rid FROM {name}_r UNION SELECT c.image_id, e.v, c.root FROM {name}_c c JOIN {name}_e e ON e.image_id = c.image_id AND e.u = c.rid),
+{name}_d AS (SELECT a.image_id, a.rid AS u, b.rid AS v FROM {name}_r a JOIN {name}_r b ON a.image_id = b.image_id AND b.y = a.y + 1 AND a.xs <= b.xe AND b.xs <= a.xe),
+{name}_e AS (SELECT * FROM {name}_d UNION ALL SELECT image_id, v, u FROM {name}_d),
+{name}_c(image_id, rid, root) AS (SELECT image_id, rid, rid FROM {name}_r r WHERE NOT EXISTS (SELECT 1 FROM {name}_d d WHERE d.image_id = r.image_id AND d.v = r.rid)
+  UNION SELECT c.image_id, e.v, c.root FROM {name}_c c JOIN {name}_e e ON e.image_id = c.image_id AND e.u = c.rid),
 {name}_m AS (SELECT image_id, rid, min(root) AS comp FROM {name}_c GROUP BY ALL),
 {name} AS (SELECT p.*, m.comp FROM {name}_g p JOIN {name}_r r USING (image_id, y, grp) JOIN {name}_m m ON m.image_id = r.image_id AND m.rid = r.rid)"""
 
 
 BG_SQL = f"""{R_SQL},
-spot(x, y) AS (VALUES (1, 1), (46, 1), (1, 46), (46, 46), (24, 1), (1, 24)),
-bg AS (SELECT image_id, avg(r) AS br, avg(g) AS bgr, avg(b) AS bb FROM px JOIN spot USING (x, y) GROUP BY image_id),
+bg AS (SELECT image_id, avg(r) AS br, avg(g) AS bgr, avg(b) AS bb FROM px WHERE (x IN (1, w - 2) AND y IN (1, h - 2)) OR (x = w // 2 AND y = 1) OR (x = 1 AND y = h // 2) GROUP BY image_id),
 near AS (SELECT px.* FROM px JOIN bg USING (image_id) WHERE sqrt((r - br) ** 2 + (g - bgr) ** 2 + (b - bb) ** 2) < 15), {comp_sql("bc", "true", "near")},
 edge AS (SELECT image_id, comp FROM bc GROUP BY ALL HAVING bool_or{BORDER}),
 bgpx AS (SELECT image_id, idx FROM bc JOIN edge USING (image_id, comp)),
-fgpx AS (SELECT * FROM px WHERE (image_id, idx) NOT IN (SELECT (image_id, idx) FROM bgpx)), {comp_sql("fc", "true", "fgpx")},
-fstat AS (SELECT image_id, comp, count(*) AS n, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y, bool_or{BORDER} AS touches_border, avg({SAT}) AS sat,
+fgpx AS (SELECT * FROM px ANTI JOIN bgpx USING (image_id, idx)), {comp_sql("fc", "true", "fgpx")},
+fstat AS (SELECT image_id, comp, any_value(w) AS w, any_value(h) AS h, count(*) AS n, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y, bool_or{BORDER} AS touches_border, avg({SAT}) AS sat,
   row_number() OVER (PARTITION BY image_id ORDER BY count(*) DESC, comp) AS rk, row_number() OVER (PARTITION BY image_id ORDER BY comp) - 1 AS number FROM fc GROUP BY image_id, comp),
-kind AS (SELECT *, CASE WHEN rk = 1 THEN 'product' WHEN n < 2304 * 0.0006 THEN 'speck' WHEN sat < 0.18 AND (min_y + max_y) / 2.0 > 24 * 0.7 THEN 'shadow' ELSE 'product' END AS kind FROM fstat),
+kind AS (SELECT *, CASE WHEN rk = 1 THEN 'product' WHEN n < w * h * 0.0006::DOUBLE THEN 'speck' WHEN sat < 0.18 AND (min_y + max_y) / 2.0 > h / 2.0::DOUBLE * 0.7::DOUBLE THEN 'shadow' ELSE 'product' END AS kind FROM fstat),
 split AS (SELECT fc.*, kind FROM fc JOIN kind USING (image_id, comp)),
-rows_ AS (SELECT image_id, y, min(x) AS row_min, max(x) AS row_max FROM split WHERE kind = 'product' GROUP BY ALL),
-wid AS (SELECT image_id, row_max - row_min AS wd, row_number() OVER (PARTITION BY image_id ORDER BY row_max - row_min) - 1 AS i, count(*) OVER (PARTITION BY image_id) AS c FROM rows_ WHERE y >= 7 AND y < 33),
+rows_ AS (SELECT image_id, h, y, min(x) AS row_min, max(x) AS row_max FROM split WHERE kind = 'product' GROUP BY ALL),
+wid AS (SELECT image_id, row_max - row_min AS wd, row_number() OVER (PARTITION BY image_id ORDER BY row_max - row_min) - 1 AS i, count(*) OVER (PARTITION BY image_id) AS c FROM rows_ WHERE y >= floor(h * 0.15::DOUBLE) AND y < floor(h * 0.7::DOUBLE)),
 med AS (SELECT image_id, max(wd) FILTER (WHERE i = c // 2) AS median_width FROM wid GROUP BY image_id),
 last_ AS (SELECT image_id, max(y) AS last_row FROM rows_ GROUP BY image_id),
 wide AS (SELECT r.image_id, y, row_min, row_max, (row_max - row_min - median_width * CAST(1.1 AS DOUBLE)) / 2 AS excess FROM rows_ r JOIN med USING (image_id)
-  WHERE median_width > 0 AND y >= 26 AND row_max - row_min > median_width * CAST(1.1 AS DOUBLE)),
+  WHERE median_width > 0 AND y >= floor(h * 0.55::DOUBLE) AND row_max - row_min > median_width * CAST(1.1 AS DOUBLE)),
 carved AS (SELECT px.image_id, px.idx FROM px JOIN wide USING (image_id, y) WHERE x BETWEEN row_min AND row_max AND least(x - row_min, row_max - x) <= excess AND {SAT} < 0.18),
-masks AS (SELECT px.*, (px.image_id, px.idx) IN (SELECT (image_id, idx) FROM bgpx) AS is_background,
-  coalesce(s.kind = 'product', false) AND c.idx IS NULL AS is_product, coalesce(s.kind = 'shadow', false) OR c.idx IS NOT NULL AS is_shadow
-  FROM px LEFT JOIN split s ON s.image_id = px.image_id AND s.idx = px.idx LEFT JOIN carved c ON c.image_id = px.image_id AND c.idx = px.idx)"""
+masks AS (SELECT px.*, b.idx IS NOT NULL AS is_background, coalesce(s.kind = 'product', false) AND c.idx IS NULL AS is_product, coalesce(s.kind = 'shadow', false) OR c.idx IS NOT NULL AS is_shadow
+  FROM px LEFT JOIN bgpx b ON b.image_id = px.image_id AND b.idx = px.idx LEFT JOIN split s ON s.image_id = px.image_id AND s.idx = px.idx LEFT JOIN carved c ON c.image_id = px.image_id AND c.idx = px.idx)"""
+
+
+def _at(mask: np.ndarray) -> tuple[int, int]:
+    """Number and sum of the flat indices of marked pixels."""
+    at = np.flatnonzero(mask)
+    return len(at), int(at.sum())
 
 
 @query(f"WITH {R_SQL} SELECT image_id, count(*) AS pixels, CAST(sum(CAST(r AS BIGINT) * 65536 + g * 256 + b) AS BIGINT) AS rgb_sum, CAST(sum((CAST(r AS BIGINT) * 65536 + g * 256 + b) * (idx + 1)) AS BIGINT) AS rgb_mark FROM px GROUP BY image_id")
 def raster_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rgb = F.col("r").cast("long") * 65536 + F.col("g") * 256 + F.col("b")
-    return rasters(spark, sf_dir).groupBy("image_id").agg(F.count("*").alias("pixels"), F.sum(rgb).alias("rgb_sum"), F.sum(rgb * (F.col("idx") + 1)).alias("rgb_mark"))
+    def work(image_id, rgb):
+        v = rgb.reshape(-1, 3).astype(np.int64) @ (65536, 256, 1)
+        yield image_id, len(v), int(v.sum()), int(v @ np.arange(1, len(v) + 1))
+
+    return per_picture(pictures(spark, sf_dir), work, "image_id long, pixels long, rgb_sum long, rgb_mark long")
 
 
 @query(f"WITH RECURSIVE {BG_SQL} SELECT image_id, br AS bg_r, bgr AS bg_g, bb AS bg_b FROM bg")
 def bg_color(spark, sf_dir):
-    return P.background_color(rasters(spark, sf_dir))
+    return per_picture(pictures(spark, sf_dir), lambda i, rgb: [(i, *P.background_color(rgb).tolist())], "image_id long, bg_r double, bg_g double, bg_b double")
 
 
 @query(f"WITH RECURSIVE {BG_SQL} SELECT image_id, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx_sum FROM bgpx GROUP BY image_id")
 def bg_mask(spark, sf_dir):
-    return P.mark_background(rasters(spark, sf_dir)).where("is_background").groupBy("image_id").agg(F.count("*").alias("n"), F.sum("idx").alias("idx_sum"))
+    return per_picture(pictures(spark, sf_dir), lambda i, rgb: [(i, *_at(P.background(rgb)))], "image_id long, n long, idx_sum long")
 
 
 @query(f"WITH RECURSIVE {BG_SQL} SELECT image_id, comp AS min_idx, n, min_x, min_y, max_x, max_y, touches_border, CAST(number AS INT) AS number FROM fstat")
 def components(spark, sf_dir):
-    px = R.components(P.mark_background(rasters(spark, sf_dir)), ~F.col("is_background"))
-    return R.component_stats(px).withColumnRenamed("comp", "min_idx")
+    def work(image_id, rgb):
+        parts = M.regions(~P.background(rgb))
+        for k, (first, n, box, edge) in enumerate(zip(parts.first.tolist(), parts.n.tolist(), parts.boxes().T.tolist(), parts.touching().tolist())):
+            yield image_id, first, n, *box, edge, k
+
+    return per_picture(pictures(spark, sf_dir), work, "image_id long, min_idx long, n long, min_x int, min_y int, max_x int, max_y int, touches_border boolean, number int")
 
 
 @query(f"WITH RECURSIVE {BG_SQL} SELECT image_id, comp AS min_idx, n, round(sat, 6) AS mean_saturation, kind FROM kind")
 def product_shadow_split(spark, sf_dir):
-    _, regions = P.foreground_regions(P.mark_background(rasters(spark, sf_dir)))
-    return regions.select("image_id", F.col("fg_comp").alias("min_idx"), "n", r6("mean_saturation").alias("mean_saturation"), "kind")
+    def work(image_id, rgb):
+        found = P.foreground(rgb, P.background(rgb))
+        yield from zip([image_id] * len(found.kind), found.regions.first.tolist(), found.regions.n.tolist(), found.saturation.tolist(), found.kind)
+
+    out = per_picture(pictures(spark, sf_dir), work, "image_id long, min_idx long, n long, mean_saturation double, kind string")
+    return out.withColumn("mean_saturation", r6("mean_saturation"))
 
 
 @query(f"WITH RECURSIVE {BG_SQL} SELECT image_id, median_width, last_row, y, row_min, row_max FROM rows_ JOIN med USING (image_id) JOIN last_ USING (image_id)")
 def row_extents_median(spark, sf_dir):
-    rows = P.row_extents(P.split_shadow(P.mark_background(rasters(spark, sf_dir))))
-    return rows.join(P.median_width(rows), "image_id").select("image_id", "median_width", "last_row", "y", "row_min", "row_max")
+    def work(image_id, rgb):
+        found = P.foreground(rgb, P.background(rgb))
+        product = found.regions.paint(found.kind == "product", False)
+        rows = P.extents(product)
+        for y, low, high in zip(*(v.tolist() for v in rows)):
+            yield image_id, P.median_width(product), int(rows[0][-1]), y, low, high
+
+    return per_picture(pictures(spark, sf_dir), work, "image_id long, median_width int, last_row int, y int, row_min int, row_max int")
 
 
 @query(f"""WITH RECURSIVE {BG_SQL} SELECT image_id, CAST(sum(is_background::INT) AS BIGINT) AS background_px, CAST(sum(is_product::INT) AS BIGINT) AS product_px, CAST(sum(is_shadow::INT) AS BIGINT) AS shadow_px,
 CAST(coalesce(sum(idx) FILTER (WHERE is_shadow), 0) AS BIGINT) AS shadow_idx FROM masks GROUP BY image_id""")
 def carve_shadow(spark, sf_dir):
-    n = lambda c: F.sum(F.col(c).cast("long"))
-    return P.preprocess(rasters(spark, sf_dir)).groupBy("image_id").agg(
-        n("is_background").alias("background_px"), n("is_product").alias("product_px"), n("is_shadow").alias("shadow_px"), F.sum(F.when(F.col("is_shadow"), F.col("idx")).otherwise(0)).alias("shadow_idx")
-    )
+    def work(image_id, rgb):
+        m = P.prepare(rgb)
+        yield image_id, int(m.background.sum()), int(m.product.sum()), *_at(m.shadow)
+
+    return per_picture(pictures(spark, sf_dir), work, "image_id long, background_px long, product_px long, shadow_px long, shadow_idx long")
 
 
 LAB_SQL = """
@@ -152,7 +184,13 @@ h4 AS (SELECT *, '#' || array_to_string([printf('%02x', CAST(greatest(0, least(2
 
 
 def _colors(spark, sf_dir):
-    return rasters(spark, sf_dir).select("r", "g", "b").distinct()
+    """The distinct colours of all pictures; each picture sends its own once."""
+
+    def work(_, rgb):
+        found = np.unique(rgb.reshape(-1, 3).astype(np.int64) @ (65536, 256, 1))
+        yield from zip((found >> 16).tolist(), (found >> 8 & 255).tolist(), (found & 255).tolist())
+
+    return per_picture(pictures(spark, sf_dir), work, "r int, g int, b int").distinct()
 
 
 @query(f"WITH {R_SQL}, col AS (SELECT DISTINCT r, g, b FROM px), {LAB_SQL.format(src='col')} SELECT r, g, b, round(dl, 6) AS l, round(da, 6) AS a_, round(db, 6) AS b_, round(CAST(CAST(dl AS FLOAT) AS DOUBLE), 4) AS l32, round({SAT}, 6) AS saturation, round(sqrt(da * da + db * db), 6) AS chroma FROM lab")
@@ -179,39 +217,57 @@ def rng_draws(spark, sf_dir):
 
 
 CENTER_SQL = "cen(cluster, l, a, b) AS (VALUES " + ", ".join(f"({i}, {l}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE)" for i, (l, a, b) in enumerate(CENTERS)) + ")"
+GAPS = [f"((fl::DOUBLE - {l}::DOUBLE) * (fl::DOUBLE - {l}::DOUBLE) + (fa::DOUBLE - {a}::DOUBLE) * (fa::DOUBLE - {a}::DOUBLE) + (fb::DOUBLE - {b}::DOUBLE) * (fb::DOUBLE - {b}::DOUBLE))" for l, a, b in CENTERS]
 ASSIGN_SQL = f"""{R_SQL}, {CENTER_SQL}, {LAB_SQL.format(src="px")},
-lab32 AS (SELECT image_id, idx, x, y, CAST(dl AS FLOAT) AS fl, CAST(da AS FLOAT) AS fa, CAST(db AS FLOAT) AS fb FROM lab WHERE r NOT IN (255, 200)),
-gap AS (SELECT lab32.*, cluster, row_number() OVER (PARTITION BY image_id, idx ORDER BY (fl::DOUBLE - l) * (fl::DOUBLE - l) + (fa::DOUBLE - a) * (fa::DOUBLE - a) + (fb::DOUBLE - b) * (fb::DOUBLE - b), cluster) AS rk FROM lab32, cen),
-own AS (SELECT image_id, idx, x, y, fl, fa, fb, CAST(cluster AS INT) AS cluster FROM gap WHERE rk = 1)"""
-
+lab32 AS (SELECT image_id, w, h, idx, x, y, CAST(dl AS FLOAT) AS fl, CAST(da AS FLOAT) AS fa, CAST(db AS FLOAT) AS fb FROM lab WHERE r NOT IN (255, 200)),
+gap AS (SELECT *, [{", ".join(GAPS)}] AS d FROM lab32),
+own AS (SELECT image_id, w, h, idx, x, y, fl, fa, fb, CAST(list_position(d, list_min(d)) - 1 AS INT) AS cluster FROM gap)"""
 
-def _centers(spark, images: DataFrame) -> DataFrame:
-    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(CENTERS)], "cluster int, l double, a double, b double")
-    return images.select("image_id").distinct().crossJoin(F.broadcast(rows))
 
-
-def _assigned(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    px = G.with_lab(rasters(spark, sf_dir))
-    table = spark.createDataFrame([([{"l": l, "a": a, "b": b} for l, a, b in CENTERS],)], "centers array<struct<l double, a double, b double>>")
-    own = px.crossJoin(F.broadcast(table)).withColumn("cluster", F.when(~F.col("r").isin(255, 200), G.nearest())).drop("centers")
-    return own, _centers(spark, spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("image_id")))
+def _assigned(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(label picture, Lab): the nearest trial centre of pixels that are neither white nor gray, -1 for those."""
+    colors, labels = lab_of(rgb), np.full(rgb.shape[:2], -1)
+    mask = ~np.isin(rgb[..., 0], (255, 200))
+    labels[mask] = K.nearest(colors[mask].astype(float), np.array(CENTERS))
+    return labels, colors
 
 
 @query(f"WITH {ASSIGN_SQL} SELECT image_id, cluster, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx_sum FROM own GROUP BY image_id, cluster")
 def kmeans_assign(spark, sf_dir):
-    own, _ = _assigned(spark, sf_dir)
-    return own.where("cluster is not null").groupBy("image_id", "cluster").agg(F.count("*").alias("n"), F.sum("idx").alias("idx_sum"))
+    def work(image_id, rgb):
+        labels, _ = _assigned(rgb)
+        for c in np.unique(labels[labels >= 0]).tolist():
+            yield image_id, c, *_at(labels == c)
+
+    return per_picture(pictures(spark, sf_dir), work, "image_id long, cluster int, n long, idx_sum long")
 
 
 @query(f"WITH {ASSIGN_SQL} SELECT image_id, cluster, count(*) AS n, round(avg(fl::DOUBLE), 6) AS l, round(avg(fa::DOUBLE), 6) AS a, round(avg(fb::DOUBLE), 6) AS b FROM own GROUP BY image_id, cluster")
 def kmeans_step(spark, sf_dir):
-    own, _ = _assigned(spark, sf_dir)
-    return G.lloyd_step(own).select("image_id", "cluster", "n", *(r6(k).alias(k) for k in "lab"))
+    def work(image_id, rgb):
+        labels, colors = _assigned(rgb)
+        for c in np.unique(labels[labels >= 0]).tolist():
+            own = colors[labels == c].astype(float)
+            yield image_id, c, len(own), *own.mean(axis=0).tolist()
+
+    out = per_picture(pictures(spark, sf_dir), work, "image_id long, cluster int, n long, l double, a double, b double")
+    return out.select("image_id", "cluster", "n", *(r6(k).alias(k) for k in "lab"))
+
+
+def _areas(spark, sf_dir) -> DataFrame:
+    """Trial clusters (image_id, cluster, l, a, b, area) of every picture, also those without pixels."""
+
+    def work(image_id, rgb):
+        labels, _ = _assigned(rgb)
+        count = np.bincount(labels[labels >= 0], minlength=len(CENTERS)).tolist()
+        yield from ((image_id, c, *center, n) for c, (center, n) in enumerate(zip(CENTERS, count)))
+
+    return per_picture(pictures(spark, sf_dir), work, "image_id long, cluster int, l double, a double, b double, area long")
 
 
 @query(f"WITH {ASSIGN_SQL}, n AS (SELECT image_id, cluster, count(*) AS area FROM own GROUP BY ALL) SELECT i.image_id, CAST(c.cluster AS INT) AS cluster, CAST(coalesce(area, 0) AS BIGINT) AS area FROM img i CROSS JOIN cen c LEFT JOIN n ON n.image_id = i.image_id AND n.cluster = c.cluster")
 def cluster_area(spark, sf_dir):
-    return G.cluster_area(_assigned(spark, sf_dir)[0], _assigned(spark, sf_dir)[1]).select("image_id", "cluster", "area")
+    return _areas(spark, sf_dir).select("image_id", "cluster", "area")
 
 
 @query(f"""WITH RECURSIVE {ASSIGN_SQL}, n AS (SELECT image_id, cluster, count(*) AS area FROM own GROUP BY ALL),
@@ -224,62 +280,83 @@ SELECT cl.image_id, cl.cluster, CAST(area AS BIGINT) AS area, round(chroma, 6) A
   CASE WHEN wh THEN 'neutral-light' WHEN row_number() OVER (PARTITION BY cl.image_id, wh, bl, family ORDER BY area DESC, cl.cluster) = 1 THEN 'base' ELSE 'shading' END AS role
 FROM cl LEFT JOIN fam USING (image_id, cluster)""")
 def cluster_roles(spark, sf_dir):
-    own, centers = _assigned(spark, sf_dir)
-    out = G.cluster_roles(G.cluster_area(own, centers))
+    out = G.cluster_roles(_areas(spark, sf_dir))
     return out.select("image_id", "cluster", "area", r6("chroma").alias("chroma"), "is_near_white", "is_near_black", "family", "role")
 
 
-@query(f"WITH {R_SQL} SELECT image_id, CAST(r * 65536 + g * 256 + b AS BIGINT) AS low, CAST(r * 65536 + g * 256 + b AS BIGINT) AS high, count(*) AS area FROM px WHERE r NOT IN (255, 200) GROUP BY ALL")
+def _seed_sql(k: int) -> str:
+    """Start centre k: the first point whose share of the squared gaps to the centres before reaches the draw."""
+    gaps = ", ".join(f"(l - l{j}) ** 2 + (a - a{j}) ** 2 + (b - b{j}) ** 2" for j in range(k))
+    keep = ", ".join(f"l{j}, a{j}, b{j}" for j in range(k))
+    return f"""g{k} AS (SELECT *, least({gaps}) AS gap FROM pt JOIN s{k - 1} USING (image_id)), m{k} AS (SELECT *, sum(gap) OVER (PARTITION BY image_id ORDER BY i) AS mass, sum(gap) OVER (PARTITION BY image_id) AS whole FROM g{k}),
+s{k} AS (SELECT image_id, {", ".join(f"any_value({c}) AS {c}" for c in keep.split(", "))}, arg_min(l, i) AS l{k}, arg_min(a, i) AS a{k}, arg_min(b, i) AS b{k} FROM m{k} WHERE mass >= whole * {DRAWS[k]!r}::DOUBLE GROUP BY image_id)"""
+
+
+#: Draws of the seeded generator, held against SQL by rng_draws.
+DRAWS = K.Draws(42).take(3).tolist()
+_C = [f"{c}{j}" for j in range(3) for c in "lab"]
+_OWN = "list_position([{0}], list_min([{0}])) - 1".format(", ".join(f"(l - l{j}) ** 2 + (a - a{j}) ** 2 + (b - b{j}) ** 2" for j in range(3)))
+FIT_SQL = f"""WITH RECURSIVE {ASSIGN_SQL},
+pt AS (SELECT image_id, fl::DOUBLE AS l, fa::DOUBLE AS a, fb::DOUBLE AS b, row_number() OVER (PARTITION BY image_id ORDER BY idx) - 1 AS i, count(*) OVER (PARTITION BY image_id) AS n FROM lab32),
+s0 AS (SELECT image_id, l AS l0, a AS a0, b AS b0 FROM pt WHERE i = CAST(floor(n * {DRAWS[0]!r}::DOUBLE) AS BIGINT)), {_seed_sql(1)}, {_seed_sql(2)},
+col AS (SELECT image_id, l, a, b, count(*) AS n FROM pt GROUP BY ALL),
+lloyd(image_id, turn, moved, {", ".join(_C)}) AS (SELECT image_id, 0, 1e9::DOUBLE, {", ".join(_C)} FROM s2 UNION ALL
+  SELECT image_id, turn + 1, {" + ".join(f"coalesce(sqrt((n{c[0]} - l{c[1]}) ** 2 + (na{c[1]} - a{c[1]}) ** 2 + (nb{c[1]} - b{c[1]}) ** 2), 0)".replace(f"n{c[0]} ", f"nl{c[1]} ") for c in _C[::3])}, {", ".join(f"coalesce(n{c}, {c})" for c in _C)}
+  FROM (SELECT image_id, turn, {", ".join(_C)}, {", ".join(f"sum({c[0]} * n) FILTER (WHERE own = {c[1]}) / sum(n) FILTER (WHERE own = {c[1]}) AS n{c}" for c in _C)}
+    FROM (SELECT t.*, c.l, c.a, c.b, c.n, {_OWN} AS own FROM lloyd t JOIN col c USING (image_id) WHERE t.turn < 12 AND t.moved >= 0.05) GROUP BY image_id, turn, {", ".join(_C)})),
+done AS (SELECT * FROM lloyd QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY turn DESC) = 1),
+fin AS (SELECT d.*, c.n, {_OWN} AS own FROM done d JOIN col c USING (image_id))
+SELECT image_id, CAST(own AS INT) AS cluster, CAST(sum(n) AS BIGINT) AS area, {", ".join(f"round(any_value(CASE own WHEN 0 THEN {c}0 WHEN 1 THEN {c}1 ELSE {c}2 END), 4) AS {c}" for c in "lab")} FROM fin GROUP BY image_id, own"""
+
+
+@query(FIT_SQL)
 def kmeans_fit(spark, sf_dir):
-    px = G.with_lab(rasters(spark, sf_dir)).where(~F.col("r").isin(255, 200))
-    cell = F.struct("idx", "lab_l", "lab_a", "lab_b", (F.col("r").cast("long") * 65536 + F.col("g") * 256 + F.col("b")).alias("rgb"))
+    """Three clusters of pictures with up to six colours: seeded starts and Lloyd steps until they move less than 0.05."""
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        own, _ = kmeans(pdf[["lab_l", "lab_a", "lab_b"]].to_numpy(), 14)
-        out = pdf.assign(c=own).groupby("c")["rgb"].agg(["min", "max", "size"])
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "low": out["min"], "high": out["max"], "area": out["size"]})
+    def work(image_id, rgb):
+        own, centers = K.kmeans(lab_of(rgb[~np.isin(rgb[..., 0], (255, 200))]), 3)
+        for c in np.unique(own).tolist():
+            yield image_id, c, int((own == c).sum()), *centers[c].tolist()
 
-    return px.select("image_id", cell.alias("c")).select("image_id", "c.*").groupBy("image_id").applyInPandas(fit, "image_id long, low long, high long, area long")
+    out = per_picture(pictures(spark, sf_dir), work, "image_id long, cluster int, area long, l double, a double, b double")
+    tidy = lambda c: F.when(F.round(c, 4) == 0, F.lit(0.0)).otherwise(F.round(c, 4)).alias(c)
+    return out.select("image_id", "cluster", "area", *(tidy(c) for c in "lab"))
 
 
 REGION_SQL = f"WITH RECURSIVE {ASSIGN_SQL}, spx AS (SELECT image_id * 10 + cluster AS image_id, idx, x, y, cluster FROM own), {comp_sql('oc', 'true', 'spx')}, reg AS (SELECT image_id // 10 AS image_id, idx, x, y, cluster, comp AS region FROM oc)"
-TALLY_SQL = """tal AS (SELECT a.image_id, a.region, a.cluster, b.cluster AS neighbour, count(*) AS n FROM reg a JOIN reg b ON a.image_id = b.image_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 AND abs(a.idx - b.idx) IN (1, 48) AND a.cluster <> b.cluster GROUP BY ALL)"""
+TALLY_SQL = """tal AS (SELECT a.image_id, a.region, a.cluster, b.cluster AS neighbour, count(*) AS n FROM (SELECT reg.*, x + dx AS nx, y + dy AS ny FROM reg, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy)) a
+  JOIN reg b ON b.image_id = a.image_id AND b.x = a.nx AND b.y = a.ny WHERE a.cluster <> b.cluster GROUP BY ALL)"""
+
 
+def _tallies(spark, sf_dir) -> DataFrame:
+    def work(image_id, rgb):
+        labels, _ = _assigned(rgb)
+        parts = M.regions(labels)
+        own = labels.ravel()[parts.first]
+        for r, other, n in zip(*(v.tolist() for v in K.tally(labels, parts))):
+            yield image_id, int(parts.first[r]), int(own[r]), other, n
 
-def _regions(spark, sf_dir) -> DataFrame:
-    own, _ = _assigned(spark, sf_dir)
-    per = own.where("cluster is not null").withColumn("real_id", F.col("image_id")).withColumn("image_id", F.col("image_id") * 10 + F.col("cluster"))
-    labelled = R.components(per, F.lit(True), "region").select(F.col("real_id").alias("image_id"), "idx", "region")
-    return own.join(labelled, ["image_id", "idx"], "left")
+    return per_picture(pictures(spark, sf_dir), work, "image_id long, region long, cluster int, neighbour int, n long")
 
 
 @query(f"{REGION_SQL}, {TALLY_SQL} SELECT image_id, region, cluster, neighbour, n FROM tal")
 def border_tally(spark, sf_dir):
-    return G.border_tally(_regions(spark, sf_dir))
+    return _tallies(spark, sf_dir)
 
 
 @query(f"{REGION_SQL}, {TALLY_SQL} SELECT image_id, region, cluster, neighbour, n FROM (SELECT *, row_number() OVER (PARTITION BY image_id, region, cluster ORDER BY n DESC, neighbour) AS rk FROM tal) WHERE rk = 1")
 def argmax_neighbour(spark, sf_dir):
-    return G.argmax_neighbour(G.border_tally(_regions(spark, sf_dir)))
-
-
-def _per_image(df: DataFrame, work, schema: str) -> DataFrame:
-    return df.groupBy("image_id").applyInPandas(work, schema)
+    return G.argmax_neighbour(_tallies(spark, sf_dir))
 
 
 @query()
 def merge_small_regions(spark, sf_dir):
-    own = _assigned(spark, sf_dir)[0].select("image_id", "w", "h", "idx", "cluster")
-    centers = np.array(CENTERS)
+    def work(image_id, rgb):
+        merged = K.merge_small(_assigned(rgb)[0], np.array(CENTERS), 0.02)
+        for c in np.unique(merged[merged >= 0]).tolist():
+            yield image_id, c, *_at(merged == c)
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        before = pdf["cluster"].fillna(-1).to_numpy(int).reshape(int(pdf["h"].iloc[0]), int(pdf["w"].iloc[0]))
-        count = pd.Series(merge_small(before, centers, 0.02).ravel()).value_counts().sort_index()
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "cluster": count.index, "area": count.to_numpy()}).query("cluster >= 0")
-
-    return _per_image(own, work, "image_id long, cluster int, area long")
+    return per_picture(pictures(spark, sf_dir), work, "image_id long, cluster int, area long, idx_sum long")
 
 
 WHITE = "r = 245"
@@ -291,8 +368,14 @@ def _stencil_sql(pick: str, radius: int, mark: str) -> str:
 a2 AS (SELECT image_id, idx, x, y, {pick}(m) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN {radius} PRECEDING AND {radius} FOLLOWING) AS m FROM a1)"""
 
 
-def _marked(px: DataFrame, name: str) -> DataFrame:
-    return px.where(F.col(name)).groupBy("image_id").agg(F.count("*").alias("n"), F.sum("idx").alias("idx_sum"))
+def _marked(spark, sf_dir, work) -> DataFrame:
+    """(image_id, n, idx_sum) of the pixels that work(rgb) marks; pictures without any have no row."""
+    rows = lambda i, rgb: [(i, *found)] if (found := _at(work(rgb)))[0] else []
+    return per_picture(pictures(spark, sf_dir), rows, "image_id long, n long, idx_sum long")
+
+
+def _white(rgb: np.ndarray) -> np.ndarray:
+    return rgb[..., 0] == 245
 
 
 COUNT_SQL = "SELECT image_id, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx_sum FROM {src} WHERE {mark} GROUP BY image_id"
@@ -300,12 +383,12 @@ COUNT_SQL = "SELECT image_id, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx_sum
 
 @query(f"WITH {R_SQL}, {_stencil_sql('min', 1, WHITE)} {COUNT_SQL.format(src='a2', mark='m = 1')}")
 def erode(spark, sf_dir):
-    return _marked(R.erode(rasters(spark, sf_dir).withColumn("m", F.expr(WHITE)), "m", 1), "m")
+    return _marked(spark, sf_dir, lambda rgb: M.box(_white(rgb), 1, True))
 
 
 @query(f"WITH {R_SQL}, {_stencil_sql('max', 2, WHITE)} {COUNT_SQL.format(src='a2', mark='m = 1')}")
 def dilate(spark, sf_dir):
-    return _marked(R.dilate(rasters(spark, sf_dir).withColumn("m", F.expr(WHITE)), "m", 2), "m")
+    return _marked(spark, sf_dir, lambda rgb: M.box(_white(rgb), 2, False))
 
 
 OPEN_SQL = _stencil_sql("min", 1, "{mark}") + """, a3 AS (SELECT image_id, idx, x, y, max(m) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM a2),
@@ -314,101 +397,131 @@ a4 AS (SELECT image_id, idx, max(m) OVER (PARTITION BY image_id, x ORDER BY y RO
 
 @query(f"WITH {R_SQL}, {OPEN_SQL.format(mark=WHITE)} {COUNT_SQL.format(src='a4', mark='m = 1')}")
 def opened(spark, sf_dir):
-    return _marked(R.opening(rasters(spark, sf_dir).withColumn("m", F.expr(WHITE)), "m", 1), "m")
+    return _marked(spark, sf_dir, lambda rgb: M.opened(_white(rgb), 1))
 
 
 @query(f"WITH {R_SQL}, {OPEN_SQL.format(mark=DARK)}, hl AS (SELECT px.image_id, px.idx FROM px JOIN a4 USING (image_id, idx) WHERE {DARK} AND m = 0) {COUNT_SQL.format(src='hl', mark='true')}")
 def hairline_mask(spark, sf_dir):
-    return _marked(T.hairlines(rasters(spark, sf_dir).withColumn("m", F.expr(DARK)), "m", 1), "hairline")
+    return _marked(spark, sf_dir, lambda rgb: (rgb[..., 0] == 12) & ~M.opened(rgb[..., 0] == 12, 1))
 
 
-DIST_SQL = f"""zero AS (SELECT image_id, x, y FROM px WHERE NOT ({WHITE})),
-d1 AS (SELECT *, least(x - coalesce(max(CASE WHEN NOT ({WHITE}) THEN x END) OVER (PARTITION BY image_id, y ORDER BY x), -9999), coalesce(min(CASE WHEN NOT ({WHITE}) THEN x END) OVER (PARTITION BY image_id, y ORDER BY x DESC), 9999) - x) AS dr FROM px),
-d2 AS (SELECT a.image_id, a.x, a.y, a.idx, CAST(min(b.dr + abs(a.y - b.y)) AS INT) AS dist FROM d1 a JOIN d1 b ON a.image_id = b.image_id AND a.x = b.x GROUP BY ALL)"""
+DIST_SQL = f"""d1 AS (SELECT *, least(x - coalesce(max(CASE WHEN NOT ({WHITE}) THEN x END) OVER (PARTITION BY image_id, y ORDER BY x), -9999), coalesce(min(CASE WHEN NOT ({WHITE}) THEN x END) OVER (PARTITION BY image_id, y ORDER BY x DESC), 9999) - x) AS dr FROM px),
+d2 AS (SELECT image_id, x, y, idx, CAST(least(y + min(dr - y) OVER (PARTITION BY image_id, x ORDER BY y), min(dr + y) OVER (PARTITION BY image_id, x ORDER BY y DESC) - y) AS INT) AS dist FROM d1)"""
 
 
 @query(f"WITH {R_SQL}, {DIST_SQL} SELECT image_id, dist, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx_sum FROM d2 GROUP BY image_id, dist")
 def distance_l1(spark, sf_dir):
-    px = R.distance_l1(rasters(spark, sf_dir).withColumn("m", F.expr(WHITE)), "m")
-    return px.groupBy("image_id", "dist").agg(F.count("*").alias("n"), F.sum("idx").alias("idx_sum"))
+    def work(image_id, rgb):
+        far = M.distance(_white(rgb))
+        for k in np.unique(far).tolist():
+            yield image_id, k, *_at(far == k)
+
+    return per_picture(pictures(spark, sf_dir), work, "image_id long, dist int, n long, idx_sum long")
+
+
+def _median_sql(source: str, value: str) -> str:
+    """CTE med9: the median of 3 x 3 neighbourhoods of a value, the border repeated."""
+    row, column = "OVER (PARTITION BY image_id, y ORDER BY x)", "OVER (PARTITION BY image_id, x ORDER BY y)"
+    cells = ", ".join(f"coalesce({f}({c}) {row}, {c})" if f else c for c in ("n_", "v", "s_") for f in ("lag", "", "lead"))
+    return f"""ns AS (SELECT *, {value} AS v, coalesce(lag({value}) {column}, {value}) AS n_, coalesce(lead({value}) {column}, {value}) AS s_ FROM {source}),
+med9 AS (SELECT image_id, idx, CAST(list_sort([{cells}])[5] AS BIGINT) AS m FROM ns)"""
 
 
-@query(f"""WITH {R_SQL}, nb AS (SELECT a.image_id, a.idx, b.r FROM px a, (VALUES (-1), (0), (1)) dx(d), (VALUES (-1), (0), (1)) dy(d) JOIN px b ON b.image_id = a.image_id AND b.x = greatest(0, least(47, a.x + dx.d)) AND b.y = greatest(0, least(47, a.y + dy.d)))
-SELECT image_id, CAST(sum(m) AS BIGINT) AS total, CAST(sum(m * (idx + 1)) AS BIGINT) AS mark FROM (SELECT image_id, idx, CAST(list_sort(list(r))[5] AS BIGINT) AS m FROM nb GROUP BY ALL) GROUP BY image_id""")
+@query(f"WITH {R_SQL}, {_median_sql('px', 'r')} SELECT image_id, CAST(sum(m) AS BIGINT) AS total, CAST(sum(m * (idx + 1)) AS BIGINT) AS mark FROM med9 GROUP BY image_id")
 def median3(spark, sf_dir):
-    px = R.median3(rasters(spark, sf_dir), "r")
-    return px.groupBy("image_id").agg(F.sum("r").alias("total"), F.sum(F.col("r") * (F.col("idx") + 1)).alias("mark"))
+    def work(image_id, rgb):
+        m = median_of(rgb[..., 0]).ravel().astype(np.int64)
+        yield image_id, int(m.sum()), int(m @ np.arange(1, len(m) + 1))
+
+    return per_picture(pictures(spark, sf_dir), work, "image_id long, total long, mark long")
+
+
+@query(f"""WITH {R_SQL}, half AS (SELECT image_id, w // 2 AS w, x // 2 AS x, y // 2 AS y, CAST(w // 2 * (y // 2) + x // 2 AS BIGINT) AS idx, CAST(floor(avg(r) + 0.5) AS INT) AS r, CAST(floor(avg(g) + 0.5) AS INT) AS g FROM px GROUP BY ALL),
+{_median_sql('half', 'r * 256 + g')} SELECT image_id, CAST(sum(m) AS BIGINT) AS total, CAST(sum(m * (idx + 1)) AS BIGINT) AS mark FROM (SELECT image_id, idx, m // 256 AS m FROM med9) GROUP BY image_id""")
+def scaled_median(spark, sf_dir):
+    """Pictures scaled down by area means, then the median of their red channel."""
+
+    def work(image_id, rgb):
+        m = median_of(resized(rgb, 0.5))[..., 0].ravel().astype(np.int64)
+        yield image_id, int(m.sum()), int(m @ np.arange(1, len(m) + 1))
+
+    return per_picture(pictures(spark, sf_dir), work, "image_id long, total long, mark long")
+
+
+@query()
+def smoothed(spark, sf_dir):
+    """Pictures scaled up by cubic convolution, without specks, smoothed but for their edges."""
+
+    def work(image_id, rgb):
+        m = bilateral(median_of(resized(rgb, 2.0)))
+        yield image_id, m.shape[1], m.shape[0], int(m.sum(dtype=np.int64)), int(m.ravel().astype(np.int64) @ np.arange(1, m.size + 1))
+
+    return per_picture(pictures(spark, sf_dir), work, "image_id long, w int, h int, total long, mark long")
 
 
 THICK_SQL = f"""{comp_sql("wc", WHITE, "px")}, {DIST_SQL},
-ord AS (SELECT wc.image_id, wc.comp, dist, x, y, row_number() OVER (PARTITION BY wc.image_id, wc.comp ORDER BY dist) - 1 AS i, count(*) OVER (PARTITION BY wc.image_id, wc.comp) AS n FROM wc JOIN (SELECT image_id, idx, dist FROM d2) d2 USING (image_id, idx)),
-thick AS (SELECT image_id, comp, n, max(dist) FILTER (WHERE i = CAST(floor(n * 0.7::DOUBLE) AS BIGINT)) AS p70, max(dist) AS max_dist, max(x) - min(x) + 1 AS bw, max(y) - min(y) + 1 AS bh, max(y) AS max_y FROM ord GROUP BY ALL)"""
+ord AS (SELECT wc.image_id, wc.comp, wc.w, wc.h, dist, wc.x, wc.y, row_number() OVER (PARTITION BY wc.image_id, wc.comp ORDER BY dist) - 1 AS i, count(*) OVER (PARTITION BY wc.image_id, wc.comp) AS n FROM wc JOIN (SELECT image_id, idx, dist FROM d2) d2 USING (image_id, idx)),
+thick AS (SELECT image_id, comp, n, w, h, max(dist) FILTER (WHERE i = CAST(floor(n * 0.7::DOUBLE) AS BIGINT)) AS p70, max(dist) AS max_dist, max(x) - min(x) + 1 AS bw, max(y) - min(y) + 1 AS bh, max(y) AS max_y FROM ord GROUP BY ALL)"""
 
 
 @query(f"WITH RECURSIVE {R_SQL}, {THICK_SQL} SELECT image_id, comp, n, p70, max_dist FROM thick")
 def thickness_p70(spark, sf_dir):
-    return T.thickness(rasters(spark, sf_dir).withColumn("m", F.expr(WHITE)), "m").select("image_id", "comp", "n", "p70", "max_dist")
+    rows = lambda i, rgb: ((i, int(t.pixels[0]), len(t.pixels), t.p70, t.most) for t in W.thickness(_white(rgb)))
+    return per_picture(pictures(spark, sf_dir), rows, "image_id long, comp long, n long, p70 int, max_dist int")
 
 
-EXTENT_SQL = "ext AS (SELECT image_id, coalesce(min(y) FILTER (WHERE is_product), 0) AS lo, coalesce(max(y) FILTER (WHERE is_product), 48) AS hi FROM masks GROUP BY image_id)"
+EXTENT_SQL = "ext AS (SELECT image_id, coalesce(min(y) FILTER (WHERE is_product), 0) AS lo, coalesce(max(y) FILTER (WHERE is_product), any_value(h)) AS hi FROM masks GROUP BY image_id)"
 
 
 @query(f"WITH RECURSIVE {BG_SQL}, {EXTENT_SQL} SELECT image_id, lo AS product_min_y, hi AS product_max_y FROM ext")
 def product_extent(spark, sf_dir):
-    return T.product_extent(P.preprocess(rasters(spark, sf_dir)))
+    return per_picture(pictures(spark, sf_dir), lambda i, rgb: [(i, *W.extent(P.prepare(rgb).product))], "image_id long, product_min_y int, product_max_y int")
 
 
 @query(f"""WITH RECURSIVE {BG_SQL}, {EXTENT_SQL}, {THICK_SQL} SELECT image_id, comp, n, p70, max_dist, greatest(2, least(max_dist, p70 * 1.6::DOUBLE) * 2) AS stroke_width,
-CASE WHEN p70 * 2 >= greatest(3, 48 * 0.018::DOUBLE) THEN CASE WHEN max_y >= hi - greatest(1, hi - lo) * 0.16::DOUBLE AND n > 2304 * 0.04::DOUBLE THEN 'sole' ELSE 'logo' END
-WHEN n < 2304 * 0.0018::DOUBLE AND greatest(bw, bh) / greatest(1, least(bw, bh))::DOUBLE > 1.8 THEN 'stitching' ELSE 'laces' END AS kind FROM thick JOIN ext USING (image_id) WHERE n >= 4""")
+CASE WHEN p70 * 2 >= greatest(3, h * 0.018::DOUBLE) THEN CASE WHEN max_y >= hi - greatest(1, hi - lo) * 0.16::DOUBLE AND n > w * h * 0.04::DOUBLE THEN 'sole' ELSE 'logo' END
+WHEN n < w * h * 0.0018::DOUBLE AND greatest(bw, bh) / greatest(1, least(bw, bh))::DOUBLE > 1.8 THEN 'stitching' ELSE 'laces' END AS kind FROM thick JOIN ext USING (image_id) WHERE n >= 4""")
 def white_classes(spark, sf_dir):
-    return T.classify_white(P.preprocess(rasters(spark, sf_dir)).withColumn("is_white", F.expr(WHITE)))
+    def work(image_id, rgb):
+        for t, kind, width in W.classes(_white(rgb), P.prepare(rgb).product, 0.018, 0.0018):
+            yield image_id, int(t.pixels[0]), len(t.pixels), t.p70, t.most, width, kind
 
+    return per_picture(pictures(spark, sf_dir), work, "image_id long, comp long, n long, p70 int, max_dist int, stroke_width double, kind string")
 
-@query(f"""WITH {R_SQL}, m AS (SELECT image_id, x, y, idx, (r < 130)::INT AS m FROM px),
-n AS (SELECT a.image_id, a.x, a.y, a.idx, a.m, list(coalesce(b.m, 0) ORDER BY o.o) AS p FROM m a CROSS JOIN (VALUES (0, 0, -1), (1, 1, -1), (2, 1, 0), (3, 1, 1), (4, 0, 1), (5, -1, 1), (6, -1, 0), (7, -1, -1)) o(o, dx, dy)
-  LEFT JOIN m b ON b.image_id = a.image_id AND b.x = a.x + o.dx AND b.y = a.y + o.dy GROUP BY ALL),
-k AS (SELECT *, m = 1 AND NOT (x BETWEEN 1 AND 46 AND y BETWEEN 1 AND 46 AND list_sum(p) BETWEEN 2 AND 6 AND list_sum([(p[i] = 0 AND p[i % 8 + 1] = 1)::INT for i in range(1, 9)]) = 1 AND p[1] * p[3] * p[5] = 0 AND p[3] * p[5] * p[7] = 0) AS keep FROM n)
-{COUNT_SQL.format(src='k', mark='keep')}""")
-def thin_pass(spark, sf_dir):
-    return _marked(R.thin_pass(rasters(spark, sf_dir).withColumn("m", F.col("r") < 130), "m", 0), "m")
 
+_ROW, _COLUMN = "OVER (PARTITION BY image_id, y ORDER BY x)", "OVER (PARTITION BY image_id, x ORDER BY y)"
 
-def _mask(pdf: pd.DataFrame) -> np.ndarray:
-    return pdf.sort_values("idx")["m"].to_numpy().reshape(48, 48)
+
+@query(f"""WITH {R_SQL}, m AS (SELECT image_id, w, h, x, y, idx, (r < 130)::INT AS m FROM px),
+v AS (SELECT *, coalesce(lag(m) {_COLUMN}, 0) AS n, coalesce(lead(m) {_COLUMN}, 0) AS s FROM m),
+n AS (SELECT *, [n, coalesce(lead(n) {_ROW}, 0), coalesce(lead(m) {_ROW}, 0), coalesce(lead(s) {_ROW}, 0), s, coalesce(lag(s) {_ROW}, 0), coalesce(lag(m) {_ROW}, 0), coalesce(lag(n) {_ROW}, 0)] AS p FROM v),
+k AS (SELECT *, m = 1 AND NOT (x BETWEEN 1 AND w - 2 AND y BETWEEN 1 AND h - 2 AND list_sum(p) BETWEEN 2 AND 6 AND list_sum([(p[i] = 0 AND p[i % 8 + 1] = 1)::INT for i in range(1, 9)]) = 1 AND p[1] * p[3] * p[5] = 0 AND p[3] * p[5] * p[7] = 0) AS keep FROM n)
+{COUNT_SQL.format(src='k', mark='keep')}""")
+def thin_pass(spark, sf_dir):
+    return _marked(spark, sf_dir, lambda rgb: L.thin_once(rgb[..., 0] < 130, 0)[0])
 
 
 @query()
 def thin_full(spark, sf_dir):
-    px = rasters(spark, sf_dir).withColumn("m", F.col("r") < 130).select("image_id", "idx", "m")
-
-    def work(pdf):
-        left = np.flatnonzero(L.thin(_mask(pdf)))
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "n": [len(left)], "idx_sum": [int(left.sum())]})
-
-    return _per_image(px, work, "image_id long, n long, idx_sum long")
+    return _marked(spark, sf_dir, lambda rgb: L.thin(rgb[..., 0] < 130))
 
 
 @query()
 def skeleton_lines(spark, sf_dir):
-    px = rasters(spark, sf_dir).withColumn("m", F.expr(DARK)).select("image_id", "idx", "m")
-
-    def work(pdf):
-        rows = [(pdf["image_id"].iloc[0], k, closed, len(p), L.length(p)) for k, (p, closed) in enumerate(L.centre_lines(L.thin(_mask(pdf))))]
-        return pd.DataFrame(rows, columns=["image_id", "line_id", "closed", "points", "length"])
+    def work(image_id, rgb):
+        for k, (points, closed) in enumerate(L.centre_lines(L.thin(rgb[..., 0] == 12))):
+            yield image_id, k, closed, len(points), L.length(points)
 
-    return _per_image(px, work, "image_id long, line_id int, closed boolean, points int, length double")
+    return per_picture(pictures(spark, sf_dir), work, "image_id long, line_id int, closed boolean, points int, length double")
 
 
 @query()
 def contours(spark, sf_dir):
-    px = rasters(spark, sf_dir).withColumn("m", ~F.col("r").isin(255, 200)).select("image_id", "idx", "m")
+    def work(image_id, rgb):
+        for k, s in enumerate(L.outlines(~np.isin(rgb[..., 0], (255, 200)))):
+            yield image_id, k, len(s["outer"]), len(s["holes"]), L.area(s["outer"])
 
-    def work(pdf):
-        rows = [(pdf["image_id"].iloc[0], k, len(s["outer"]), len(s["holes"]), L.area(s["outer"])) for k, s in enumerate(L.outlines(_mask(pdf)))]
-        return pd.DataFrame(rows, columns=["image_id", "shape_id", "points", "holes", "area"])
-
-    return _per_image(px, work, "image_id long, shape_id int, points int, holes int, area double")
+    return per_picture(pictures(spark, sf_dir), work, "image_id long, shape_id int, points int, holes int, area double")
 
 
 POLY_SQL = "pt AS (SELECT vec_id, CAST(i AS INT) AS i, CAST(i AS DOUBLE) AS x, embedding[i + 1]::DOUBLE * 100 AS y, len(embedding) AS n FROM embeddings, range(64) r(i))"
@@ -504,6 +617,18 @@ def svg_assemble(spark, sf_dir):
     return V.assemble_svg(items, sizes).select("image_id", F.sha2("svg", 256).alias("svg_sha256"))
 
 
+@query(f"""WITH {ITEM_SQL}, num AS (SELECT *, regexp_replace(CAST(coalesce(stroke_width, 2.0) AS VARCHAR), '\\.0$', '') AS sw FROM items),
+p AS (SELECT *, CASE WHEN mode = 'stroke' THEN '<path stroke="' || color || '" fill="none" stroke-width="' || sw || '" stroke-linecap="round" stroke-linejoin="round" d="' || d || '"/>'
+ ELSE '<path fill="' || color || '" fill-rule="evenodd"' || CASE WHEN opacity IS NULL THEN '' ELSE ' opacity="0.22"' END || ' d="' || d || '"/>' END AS path FROM num),
+l AS (SELECT i.image_id, v.z, v.layer, string_agg(path, '' ORDER BY ord) AS inner_ FROM (SELECT DISTINCT image_id FROM items) i CROSS JOIN (SELECT unnest(range(8)) AS z, unnest([{LAYER_LIST}]) AS layer) v LEFT JOIN p ON p.image_id = i.image_id AND p.layer = v.layer GROUP BY ALL),
+b AS (SELECT image_id, string_agg(CASE WHEN inner_ IS NULL THEN '<g id="' || layer || '"/>' ELSE '<g id="' || layer || '">' || inner_ || '</g>' END, '' ORDER BY z) AS body FROM l GROUP BY image_id)
+SELECT image_id, sha256('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 48 48" width="48" height="48">' || body || '</svg>') AS svg_sha256 FROM b""")
+def svg_attributes(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    sizes = items.select("image_id").distinct().select("image_id", F.lit(48).alias("w"), F.lit(48).alias("h"))
+    return V.assemble_svg(items, sizes, False).select("image_id", F.sha2("svg", 256).alias("svg_sha256"))
+
+
 @query(f"WITH {ITEM_SQL}, v AS (SELECT 'all' AS view, * FROM items UNION ALL SELECT 'outline', * FROM items WHERE layer = 'outline' UNION ALL SELECT 'colors', * FROM items WHERE mode = 'fill' UNION ALL SELECT 'small', * FROM items) SELECT view, layer, count(*) AS n FROM v GROUP BY view, layer")
 def view_filter(spark, sf_dir):
     items = _items(spark, sf_dir)
@@ -549,6 +674,26 @@ def preset_options(spark, sf_dir):
     return resolve(asked, preset_table(spark)).select("p_partkey", "preset", "num_colors", "smoothing", "detect_lines")
 
 
+@query(f"WITH {POLY_SQL} SELECT vec_id, round((max(x) - min(x)) * (max(floor(y * 100 + 0.5) / 100) - min(floor(y * 100 + 0.5) / 100)), 6) AS area FROM pt GROUP BY vec_id")
+def path_boxes(spark, sf_dir):
+    """Areas of the boxes around polylines as path text."""
+
+    def work(points):
+        text = " L ".join(f"{L.number(x)},{L.number(y)}" for x, y in points)
+        return (L.box_area(f"M {text}"),)
+
+    return _line_rows(spark, sf_dir, work, "vec_id long, area double").select("vec_id", r6("area").alias("area"))
+
+
+@query("""SELECT p_partkey, CAST(CASE WHEN abs(f - 1) <= 0.01 THEN p_size * 60 ELSE floor(p_size * 60 * f + 0.5) END AS INT) AS w, round(floor(p_retailprice * f * 100 + 0.5) / 100, 6) AS fixed FROM (
+SELECT *, CASE WHEN s * f0 > 2200 THEN 2200 / s ELSE f0 END AS f FROM (SELECT *, CAST(p_size * 60 AS DOUBLE) AS s, CASE WHEN p_size * 60 < 1100 THEN 2::DOUBLE ELSE 1::DOUBLE END AS f0 FROM part))""")
+def scaled_sides(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    side = F.col("p_size") * 60
+    factor = S.scale_factor(side, side, F.lit(None).cast("double"))
+    return part.select("p_partkey", S.scaled_side(side, side, side, F.lit(None).cast("double")).alias("w"), r6(S.fixed2(F.col("p_retailprice") * factor)).alias("fixed"))
+
+
 FILE_SQL = "f AS (SELECT page_id, CASE page_id % 7 WHEN 6 THEN '.png' WHEN 5 THEN 'noext' ELSE url || ['', '.PNG', '.jpeg', '.gif', '.webp'][page_id % 7 + 1] END AS name, ['', 'image/png', 'image/jpeg', 'text/html'][page_id % 4 + 1] AS mime FROM pages)"
 EXT_SQL = "CASE WHEN contains(name, '.') THEN translate(regexp_extract(name, '[^.]*$'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
 
@@ -571,13 +716,24 @@ def svg_names(spark, sf_dir):
     return _files(spark, sf_dir).select("page_id", S.vector_name(F.col("name")).alias("svg_name"), S.vector_name(F.col("name"), "_vector.png").alias("png_name"))
 
 
-@query()
+@query(r"""WITH RECURSIVE f AS (SELECT page_id % 8 AS batch, page_id AS ord, 'a' || CASE WHEN page_id % 5 = 0 THEN '(2)' ELSE '' END || '.svg' AS name, row_number() OVER (PARTITION BY page_id % 8 ORDER BY page_id) AS k FROM pages),
+r(batch, k, ord, name, unique_name, used) AS (SELECT DISTINCT batch, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, []::VARCHAR[] FROM f UNION ALL
+  SELECT batch, k, ord, name, u, list_append(used, u) FROM (SELECT f.*, r.used, CASE WHEN NOT list_contains(r.used, f.name) THEN f.name
+    ELSE list_filter([regexp_replace(f.name, '\.svg$', '') || '(' || i || ').svg' for i in range(2, len(r.used) + 3)], lambda c: NOT list_contains(r.used, c))[1] END AS u FROM r JOIN f ON f.batch = r.batch AND f.k = r.k + 1))
+SELECT batch, ord, name, unique_name FROM r WHERE k > 0""".replace("\\\\", "\\"))
 def unique_names(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
     name = F.concat(F.lit("a"), F.when(F.col("page_id") % 5 == 0, "(2)").otherwise(""), F.lit(".svg"))
     return names.unique_names(rows.select((F.col("page_id") % 8).alias("batch"), F.col("page_id").alias("ord"), name.alias("name")))
 
 
+@query(f"WITH {FILE_SQL}, s AS (SELECT f.*, {EXT_SQL} IN ('png', 'jpg', 'jpeg', 'webp') AND mime IN ('', 'image/png', 'image/jpeg', 'image/webp') AS ok FROM f) SELECT page_id, name, 'job-' || row_number() OVER (ORDER BY page_id DESC) || '-1700000000000' AS job_id, 'pending' AS status FROM s WHERE ok")
+def intake_jobs(spark, sf_dir):
+    """Supported files as numbered jobs, latest page first; the others are left out of the batch."""
+    good, _ = split_supported(_files(spark, sf_dir))
+    return jobs(good, F.col("page_id").desc(), 1_700_000_000_000).select("page_id", "name", "job_id", "status")
+
+
 @query("""SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN (n * 20 + 1024) // 2048 // 10 || '.' || (n * 20 + 1024) // 2048 % 10 || ' KB'
 ELSE (n * 200 + 1048576) // 2097152 // 100 || '.' || printf('%02d', (n * 200 + 1048576) // 2097152 % 100) || ' MB' END AS size FROM (SELECT doc_id, n_chars * (doc_id % 7 + 1) * (doc_id % 31 + 1) AS n FROM documents)""")
 def file_sizes(spark, sf_dir):
@@ -604,9 +760,9 @@ def error_messages(spark, sf_dir):
 
 @query()
 def vectorize_items(spark, sf_dir):
-    return vectorize_layers(rasters(spark, sf_dir), Options())
+    return vectorize_layers(pictures(spark, sf_dir), Options())
 
 
 @query()
 def vectorize_svg(spark, sf_dir):
-    return vectorize(rasters(spark, sf_dir), build_options("illustration"))
+    return vectorize(pictures(spark, sf_dir), build_options("illustration"))

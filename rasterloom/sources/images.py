@@ -5,11 +5,16 @@ from __future__ import annotations
 import io
 import zipfile
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import supported
+from ..operators.order import with_position
+
+PICTURE = "image_id long, w int, h int, rgb binary"
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -24,20 +29,39 @@ def split_supported(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files.where(ok), files.where(~ok)
 
 
+def jobs(files: DataFrame, order: Column, millis: int) -> DataFrame:
+    """files with job_id (job, running number from 1, time in milliseconds) and status pending, numbered in the order."""
+    numbered = with_position(files, order, name="_job")
+    job = F.concat(F.lit("job-"), (F.col("_job") + 1).cast("string"), F.lit(f"-{millis}"))
+    return numbered.withColumn("job_id", job).withColumn("status", F.lit("pending")).drop("_job")
+
+
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, r"^([a-z0-9]+):/+", "$1:/")
+
+
 def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Pixels (image_id, path, w, h, x, y, idx, r, g, b) of a folder's images, and (path) of those that cannot be decoded.
+    """Pictures (image_id, path, w, h, rgb) of a folder's images, and (path) of those that cannot be decoded.
 
-    Decoding runs in the JVM, with the formats of its image reader; alpha is dropped. image_id numbers
-    paths in their order.
+    Decoding runs in the JVM, with the formats of its image reader; alpha is dropped, gray spread over three
+    channels. image_id numbers paths in their order, from the listing alone.
     """
+    listed = spark.read.format("binaryFile").load(path).select(_plain(F.col("path")).alias("path"))
+    ids = with_position(listed, F.col("path"), name="image_id")
     images = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
-    good, bad = images.where("width > 0"), images.where("width <= 0").select(F.col("origin").alias("path"))
-    ids = good.select("origin").distinct().withColumn("image_id", F.row_number().over(Window.orderBy("origin")).cast("long") - 1)
-    rows = good.join(ids, "origin").select("image_id", F.col("origin").alias("path"), F.col("width").alias("w"), F.col("height").alias("h"), "nChannels", "data")
-    px = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
-    at = lambda back: F.conv(F.hex(F.substring(F.col("data"), (F.col("y") * F.col("w") + F.col("x")) * F.col("nChannels") + back, F.lit(1))), 16, 10).cast("int")
-    colour = lambda c: F.when(F.col("nChannels") == 1, at(1)).otherwise(at(c))
-    return px.select("image_id", "path", "w", "h", "x", "y", (F.col("y").cast("long") * F.col("w") + F.col("x")).alias("idx"), colour(3).alias("r"), colour(2).alias("g"), colour(1).alias("b")), bad
+    images = images.withColumn("path", _plain(F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))))
+    good, bad = images.where("width > 0"), images.where("width <= 0").select("path")
+
+    def unpack(batches):
+        for b in batches:
+            out = []
+            for w, h, n, data in zip(*(b.column(c).to_pylist() for c in ("width", "height", "nChannels", "data"))):
+                cells = np.frombuffer(data, np.uint8).reshape(h, w, n)
+                out.append(np.ascontiguousarray(cells[..., 2::-1] if n > 1 else np.repeat(cells, 3, axis=2)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("image_id", "path", "width", "height")] + [pa.array(out, pa.binary())], names=["image_id", "path", "w", "h", "rgb"])
+
+    rows = good.join(ids, "path").select("image_id", "path", "width", "height", "nChannels", "data")
+    return rows.mapInArrow(unpack, "image_id long, path string, w int, h int, rgb binary"), bad
 
 
 def write_svgs(svgs: DataFrame, path: str) -> None:
