@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, slices, table
 from .kernels import fmix
 
 KEYS_PER_FILTER = 100_000
@@ -78,7 +78,7 @@ class BinaryFuse:
 
 
 def _digests(batches):
-    for batch in batches:
+    for batch in slices(batches):
         texts = pc.ascii_lower(pc.fill_null(batch.column("text"), "")).cast(pa.binary()).to_pylist()
         digests = [hashlib.sha256(t).digest() for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary())], names=["doc_id", "digest"])
@@ -170,7 +170,7 @@ def exact_dedup(docs: DataFrame, snapshot: DataFrame | None = None, *, id_col: s
 
 
 def _texts(batches):
-    for batch in batches:
+    for batch in slices(batches):
         lowered = pc.ascii_lower(pc.fill_null(batch.column("text"), ""))
         hashed = [hashlib.sha256(t).digest() for t in lowered.cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(hashed, pa.binary()), batch.column("doc_id"), lowered], names=["digest", "doc_id", "text"])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, slices, table
 
 #: Fixed values of HTML: elements without content, of which nothing is text, inside a line, that end at their own closing tag
 #: whatever is inside, and that hold lines of text.
@@ -330,7 +330,7 @@ def main_text(html: str | None, winner: str | None) -> str:
 
 
 def _votes(batches):
-    for batch in batches:
+    for batch in slices(batches):
         paths = [own_path(h or "") for h in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], names=["host", "path"])
 
@@ -369,7 +369,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     kind = pages.schema[id_col].dataType.simpleString()
 
     def read(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(h, w) for h, w in zip(batch.column("html").to_pylist(), batch.column("winner").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

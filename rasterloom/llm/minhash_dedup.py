@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, table
+from .common import components, materialise, slices, table
 from .kernels import WordHasher, coordinate_keys, shingle_sets, signature
 
 #: A pair at similarity 0.8 shares 25.6 of 32 coordinates on average, fewer than 14 once in a million pairs.
@@ -31,7 +31,7 @@ def sketches(docs: DataFrame, shingle: int, coordinates: int) -> DataFrame:
 
     def sketch(batches):
         hasher, (mult, mask) = WordHasher(), coordinate_keys(coordinates)
-        for batch in batches:
+        for batch in slices(batches):
             n, a, b, sigs = [], [], [], []
             for s in shingle_sets(hasher, _texts(batch), shingle):
                 n.append(len(s))
@@ -50,7 +50,7 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     def sets(batches):
         hasher = WordHasher()
-        for batch in batches:
+        for batch in slices(batches):
             found = list(shingle_sets(hasher, _texts(batch), shingle))
             ids, at = batch.column("doc_id"), 0
             while at < len(found):

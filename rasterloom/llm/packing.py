@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, slices, table
 
 CAPACITY, END_ID = 1024, 2
 #: The added token of byte_bpe_50k.json, which its tokenizer reads inside texts too.
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, capacity: int, vocabulary: str | None, id_col: str,
         with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={} if vocabulary else ADDED)
-        for batch in batches:
+        for batch in slices(batches):
             owner, rows = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.array([*encoding.encode(text or "", allowed_special="all"), END_ID], "<u4")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, slices, table
 from .kernels import WordHasher
 
 #: Bound of the labelled rows that are fitted (those of least digest), folds, bytes of a word beginning.
@@ -233,7 +233,7 @@ def _lexicons(train: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
 
     def tally(batches):
         words, counts = Words(), {}
-        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+        for batch in slices(batches, SLICE):
             texts = _bytes(batch.column("text"))
             fold, toxic = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("fold", "toxic"))
             for first, n, h, p, _, _, owner in scan(texts, words):
