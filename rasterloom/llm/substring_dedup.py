@@ -7,11 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, slices, table
 from .kernels import WordHasher, fmix
 
-#: Words of a window whose least gear value is a cut, bits that the gear shifts at each word, least words of a repeat.
-WINDOW, SHIFT, LEAST = 16, 22, 16
+#: Words of a window whose least gear value is a cut, bits that the gear shifts at each word.
+WINDOW, SHIFT = 16, 22
+#: Least words of whole repeated chunks, numbers of words beside them that are compared too, and least words of a repeat with these.
+LEAST, BESIDE, REPEAT = 16, (4, 8, 12, 16), 45
 
 
 def chunk_bounds(hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,13 +46,15 @@ def chunks(docs: DataFrame, places: bool) -> DataFrame:
     """The chunks of every whole text of docs (doc_id, text): (doc_id, a, b), a and b the 128-bit digest.
 
     With places also body (digest of all words of the text), word and words (first word and
-    number of words), byte and bytes (the same in the UTF-8 text).
+    number of words), byte and bytes (the same in the UTF-8 text), and l4, r4, ... (digests of as many words
+    before and after the chunk, 0 where the text has fewer).
     """
+    beside = [f"{side}{k}" for side in "lr" for k in BESIDE]
 
     def cut(batches):
         hasher = WordHasher()
         bases = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             ids = batch.column("doc_id")
             for first_text, h, starts, ends, owner, n_texts in hasher(texts):
@@ -67,16 +71,43 @@ def chunks(docs: DataFrame, places: bool) -> DataFrame:
                     digests.append(fmix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64)).view(np.int64))
                     of_text = np.cumsum(counts) - counts
                     body = fmix((sums[of_text + counts] - sums[of_text]) * inverse[of_text] + counts.astype(np.uint64)).view(np.int64)
+                digest = lambda a, b: fmix((sums[b] - sums[a]) * inverse[a]).view(np.int64)  # noqa: B023, E731
                 text = owner[first]
                 columns = {"doc_id": ids.take(pa.array(first_text + text)), "a": digests[0], "b": digests[1]}
                 if places:
                     columns |= {"body": body[text], "word": (first - of_text[text]).astype(np.int32), "words": (end - first).astype(np.int32), "byte": starts[first], "bytes": ends[end - 1] - starts[first]}
+                    low, high = of_text[text], of_text[text] + counts[text]
+                    for k in BESIDE:
+                        columns[f"l{k}"] = np.where(first - k >= low, digest(np.maximum(first - k, 0), first), 0)
+                        columns[f"r{k}"] = np.where(end + k <= high, digest(end, np.minimum(end + k, len(h))), 0)
+                    columns = {c: columns[c] for c in ("doc_id", "a", "b", "body", "word", "words", "byte", "bytes", *beside)}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(cut, "doc_id long, a long, b long" + (", body long, word int, words int, byte long, bytes long" if places else ""))
+    return docs.mapInArrow(cut, "doc_id long, a long, b long" + (", body long, word int, words int, byte long, bytes long, " + ", ".join(f"{c} long" for c in beside) if places else ""))
 
 
-def repeated_spans(docs: DataFrame, *, least_words: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _long_enough(spans: DataFrame, found: DataFrame, repeat: int) -> DataFrame:
+    """Spans whose whole chunks, with the words beside them that another document has there too, are at least so many words.
+
+    Only the chunks of shorter spans are looked up, by map-side combined counts of documents. Each of a span's chunks may
+    tell how far the run reaches: one at its end may be a chance match of few words.
+    """
+    span = ["doc_id", "body", "first_word"]
+    weak = spans.where(F.col("n_words") < repeat).select(*span, "n_words")
+    beside = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.lit(k).alias("k"), F.col(f"{side}{k}").alias("digest")) for side in "lr" for k in BESIDE])).alias("n")
+    inside = found.join(weak, ["doc_id", "body"]).where("word >= first_word and word < first_word + n_words")
+    asked = materialise(inside.select(*span, "word", "words", "a", "b", beside).select(*span, "word", "words", "a", "b", "n.*").where("digest <> 0").distinct())
+    seen = found.join(asked.select("a", "b").distinct(), ["a", "b"], "left_semi").select("doc_id", "a", "b", beside).select("doc_id", "a", "b", "n.*").where("digest <> 0")
+    key = ["a", "b", "side", "k", "digest"]
+    both = materialise(seen.groupBy(*key).agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).where("one <> other").select(*key))
+    low, high = F.min(F.when(F.col("side") == "l", F.col("word") - F.col("k"))), F.max(F.when(F.col("side") == "r", F.col("word") + F.col("words") + F.col("k")))
+    reach = asked.join(both, key).groupBy(*span).agg(low.alias("low"), high.alias("high"))
+    end = F.col("first_word") + F.col("n_words")
+    whole = F.greatest(end, F.coalesce("high", end)) - F.least(F.col("first_word"), F.coalesce("low", "first_word"))
+    return spans.join(reach, span, "left").where(whole >= repeat).drop("low", "high")
+
+
+def repeated_spans(docs: DataFrame, *, least_words: int = LEAST, repeat: int = REPEAT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Word spans of documents that other documents have too: a row for each span.
 
     (doc_id, body, first_word, n_words, first_byte, n_bytes, first_doc_id, kept, cuts): body tells apart
@@ -84,8 +115,10 @@ def repeated_spans(docs: DataFrame, *, least_words: int = LEAST, id_col: str = "
     the least document with one of the span's chunks; kept, whether all of its chunks are here
     first; cuts, the (first_byte, n_bytes) of its runs of chunks that another document has first,
     which may be shorter than least_words. What is in no cut stays, so each chunk stays in its first document. Words are compared with A-Z lowered and white space ignored. Neighbouring repeated chunks
-    are joined and spans under least_words dropped, which shared phrases may be. A shared passage of
-    at least 2 * WINDOW + 3 words contains a whole chunk, one of over 50 words at least LEAST words of them.
+    are joined; spans under least_words are dropped, and those that with 4, 8, 12 or 16 repeated words beside each end
+    have fewer than repeat. A shared passage of at least 2 * WINDOW + 3 words contains a whole chunk; one of
+    over 50 words at least LEAST words of them, and counts at least 45 (three words at each end may not count), so
+    all such passages are found; a shared run of fewer than 45 words is not.
 
     First the digests that at least two doc_ids have are found: counts combine before the shuffle,
     so a very common passage costs a row of each task. Then the chunks are cut again, now with their
@@ -95,20 +128,20 @@ def repeated_spans(docs: DataFrame, *, least_words: int = LEAST, id_col: str = "
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     shared = materialise(chunks(rows, False).groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("a", "b", "first"))
-    found = materialise(chunks(rows, True).join(shared.hint("merge"), ["a", "b"]).drop("a", "b"))
-    found = found.dropDuplicates(["doc_id", "body", "word"])
+    found = materialise(chunks(rows, True).join(shared.hint("merge"), ["a", "b"]))
     order = Window.partitionBy("doc_id", "body").orderBy("word")
+    once = found.dropDuplicates(["doc_id", "body", "word"])
     gap = F.coalesce(F.lag(F.col("word") + F.col("words")).over(order) != F.col("word"), F.lit(True)).cast("int")
     own = F.col("first") == F.col("doc_id")
     turn = F.greatest(gap, (own != F.lag(own).over(order)).cast("int"))
     running = order.rowsBetween(Window.unboundedPreceding, 0)
-    spans = found.withColumn("gap", gap).withColumn("turn", turn).withColumn("span", F.sum("gap").over(running)).withColumn("run", F.sum("turn").over(running))
+    spans = once.withColumn("gap", gap).withColumn("turn", turn).withColumn("span", F.sum("gap").over(running)).withColumn("run", F.sum("turn").over(running))
     runs = spans.groupBy("doc_id", "body", "span", "run").agg(
         F.min("word").alias("word"), F.sum("words").alias("words"), F.min("byte").alias("byte"), F.max(F.col("byte") + F.col("bytes")).alias("end"),
         F.min("first").alias("first"), F.bool_and(own).alias("own"),
     )
     place = F.struct(F.col("byte").alias("first_byte"), (F.col("end") - F.col("byte")).alias("n_bytes"))
-    return (
+    joined = materialise(
         runs.groupBy("doc_id", "body", "span")
         .agg(
             F.min("word").cast("long").alias("first_word"), F.sum("words").alias("n_words"), F.min("byte").alias("first_byte"), (F.max("end") - F.min("byte")).alias("n_bytes"),
@@ -117,6 +150,7 @@ def repeated_spans(docs: DataFrame, *, least_words: int = LEAST, id_col: str = "
         .where(F.col("n_words") >= least_words)
         .drop("span")
     )
+    return _long_enough(joined, found, repeat)
 
 
 def cut_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
