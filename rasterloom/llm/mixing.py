@@ -5,33 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import with_position
 from .common import WORD, materialise, table
 
 BUCKETS = 4096
 
 
-def source_positions(sizes: DataFrame) -> DataFrame:
-    """sizes (source, source_size) with position, the source's place from 0 by code point, null last.
-
-    Sources are cut into ranges, ranked inside each, and moved on by the sizes of the ranges before: however
-    many sources there are, only the number of ranges, which is that of partitions, meets in one task.
-    """
-    ranges = materialise(sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()))
-    inside = ranges.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1)
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return inside.join(starts, "range").select("source", "source_size", (F.col("start") + F.col("place")).alias("position"))
-
-
 def source_targets(sizes: DataFrame, share: float, max_epochs: int, weights: tuple[float, ...]) -> DataFrame:
-    """Targets of sources (source, source_size): share of all sizes, dealt by weight, none above max_epochs sizes.
+    """Targets of sources (source, source_size): share of all sizes, dealt by weight in the order of code points, null last, none above max_epochs sizes.
 
     Water-filling: sources whose share by weight exceeds their cap are clamped at it, and what they can't
     take is dealt to the others by weight, until none is above. The level (size for each unit of weight) only rises, so
     a clamped source stays so; each round is one aggregate over the sources.
     """
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("position") % len(weights) + 1).cast("int"))
-    placed = materialise(source_positions(sizes).withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(max_epochs)))
+    ranked = with_position(sizes, F.col("source").asc_nulls_last())
+    placed = materialise(ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(max_epochs)))
     whole = placed.agg(F.sum("source_size")).first()[0] or 0
     level, before = 0.0, None
     while level != before:
