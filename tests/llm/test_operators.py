@@ -75,7 +75,7 @@ def test_query_gives_the_rows_of_its_sql(spark, data_dir, same_rows, name):
 def test_hard_tables_give_the_rows_of_the_sql(spark, docs, empty, same_rows, tmp_path, name):
     for k, df in enumerate((docs, empty)):
         folder = f"{tmp_path}/{k}"
-        df.drop("keep_id", "size", "shingles", "score", "kept").write.parquet(f"{folder}/documents.parquet")
+        df.write.parquet(f"{folder}/documents.parquet")
         same_rows(QUERIES[name](spark, folder), ORACLES[name], folder)
 
 
@@ -262,7 +262,8 @@ def test_chat_round_trip_of_hard_conversations(spark, tmp_path, same_rows):
     rows = [(1, 0, "user", marks), (1, 1, "assistant", marks), (1, 2, None, None), (1, 2, "user", "b"), (2, None, "assistant", ""), (2, 0, "<|text|>", "x"), (3, 0, "system", "s")]
     rows += [(4, k, ("user", "assistant")[k % 2], f"t{k}") for k in range(70)]
     for k, use in enumerate((rows, [])):
-        spark.createDataFrame(use, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/{k}/conversations.parquet")
+        clash = [(*r, "t", 3, 4, "f", "r") for r in use]
+        spark.createDataFrame(clash, "conv_id long, turn long, role string, text string, tree string, node long, parent long, formatted string, turns string").write.parquet(f"{tmp_path}/{k}/conversations.parquet")
         same_rows(QUERIES["op6_chat_format"](spark, f"{tmp_path}/{k}"), ORACLES["op6_chat_format"], f"{tmp_path}/{k}")
 
 
@@ -437,8 +438,8 @@ def test_repeated_passages_are_found_and_others_left(spark, docs, empty):
     short = {}
     for i, t in texts.items():
         w = words(t)
-        for j in range(len(w) - 15):
-            short.setdefault(tuple(w[j : j + 16]), set()).add(i)
+        for j in range(len(w) - 44):
+            short.setdefault(tuple(w[j : j + 45]), set()).add(i)
     assert ids <= set().union(*(d for d in short.values() if len(d) > 1))
     for r in found.collect():
         part = texts[r.doc_id].encode()[r.first_byte : r.first_byte + r.n_bytes].decode()
@@ -450,6 +451,21 @@ def test_repeated_passages_are_found_and_others_left(spark, docs, empty):
     del rng
 
 
+def test_passages_over_50_words_are_found_and_those_under_45_left(spark):
+    """Passages of each length from 20 to 70 words, at the start, in the middle and at the end of two documents each."""
+    rng, rows, want = random.Random(19), [], {}
+    for n in [*range(20, 71)] * 2:
+        for before, after in ((0, 30), (40, 40), (30, 0)):
+            passage = prose(rng, n)
+            for _ in range(2):
+                want[len(rows)] = n
+                rows.append((len(rows), " ".join(prose(rng, before) + passage + prose(rng, after))))
+    found = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    ids = {r.doc_id for r in found}
+    assert all(n <= 50 or i in ids for i, n in want.items()) and all(want[i] >= 45 for i in ids)
+    assert all(16 <= r.n_words <= want[r.doc_id] for r in found)
+
+
 def test_every_chunk_stays_in_a_document(spark):
     rng = random.Random(9)
     shared, copied = prose(rng, 60), prose(rng, 200)
@@ -637,7 +653,8 @@ def test_neighbours_against_brute_force(spark, tmp_path):
     v[400:700] = v[400]
     rows = [(i, [float(x) for x in row], 0) for i, row in enumerate(v)]
     rows += [(1000, None, 0), (1100, [0.0] * 64, 0), (1200, [float("nan")] + [1.0] * 63, 0), (1300, [None] + [1.0] * 63, 0), (1400, [1.0] * 3, 0)]
-    spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    again = rows[:20] + rows[-3:]
+    spark.createDataFrame(rows + again, "vec_id long, embedding array<double>, rank int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = QUERIES["op2_ann_search"](spark, str(tmp_path)).toPandas()
     hits = total = 0
     for q in range(0, 900, 100):
