@@ -62,15 +62,15 @@ SAT = "CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE (greatest(r, g, b) - least(r,
 BORDER = "(x = 0 OR y = 0 OR x = w - 1 OR y = h - 1)"
 
 
-def comp_sql(name: str, mark: str, source: str) -> str:
-    """CTEs that give {name}: the marked pixels of source with comp, the least idx of their region.
+def comp_sql(name: str, mark: str, source: str, corner: int = 0) -> str:
+    """CTEs that give {name}: the marked pixels of source with comp, the least idx of their region; with corner 1, pixels that meet at a corner are one region.
 
     Runs of rows are walked from those without a run above; a region's first run is one of them.
     """
     return f"""
 {name}_g AS (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS grp FROM {source} WHERE {mark}),
 {name}_r AS (SELECT image_id, y, grp, min(x) AS xs, max(x) AS xe, min(idx) AS rid FROM {name}_g GROUP BY ALL),
-{name}_d AS (SELECT a.image_id, a.rid AS u, b.rid AS v FROM {name}_r a JOIN {name}_r b ON a.image_id = b.image_id AND b.y = a.y + 1 AND a.xs <= b.xe AND b.xs <= a.xe),
+{name}_d AS (SELECT a.image_id, a.rid AS u, b.rid AS v FROM {name}_r a JOIN {name}_r b ON a.image_id = b.image_id AND b.y = a.y + 1 AND a.xs <= b.xe + {corner} AND b.xs <= a.xe + {corner}),
 {name}_e AS (SELECT * FROM {name}_d UNION ALL SELECT image_id, v, u FROM {name}_d),
 {name}_c(image_id, rid, root) AS (SELECT image_id, rid, rid FROM {name}_r r WHERE NOT EXISTS (SELECT 1 FROM {name}_d d WHERE d.image_id = r.image_id AND d.v = r.rid)
   UNION SELECT c.image_id, e.v, c.root FROM {name}_c c JOIN {name}_e e ON e.image_id = c.image_id AND e.u = c.rid),
@@ -501,7 +501,18 @@ def thin_pass(spark, sf_dir):
     return _marked(spark, sf_dir, lambda rgb: L.thin_once(rgb[..., 0] < 130, 0)[0])
 
 
-@query()
+def _thin_sql(mark: str) -> str:
+    """CTEs that give sk: the marked pixels that full thinning leaves. Each pass tells every pixel its neighbours as bits."""
+    return f"""off(o, dx, dy) AS (VALUES (0, 0, 1), (1, -1, 1), (2, -1, 0), (3, -1, -1), (4, 0, -1), (5, 1, -1), (6, 1, 0), (7, 1, 1), (8, 0, 0)),
+th(image_id, w, h, x, y, pass, go) AS (SELECT image_id, w, h, x, y, 0, true FROM px WHERE {mark} UNION ALL
+  SELECT image_id, w, h, x, y, pass + 1, pass % 2 = 0 OR hit FROM (SELECT *, bool_or(gone) OVER (PARTITION BY image_id) AS hit FROM (
+    SELECT *, x BETWEEN 1 AND w - 2 AND y BETWEEN 1 AND h - 2 AND bit_count(b) BETWEEN 2 AND 6 AND bit_count(xor(b, 255) & ((b >> 1) | ((b & 1) << 7))) = 1
+      AND CASE WHEN pass % 2 = 0 THEN (b & 21) <> 21 AND (b & 84) <> 84 ELSE (b & 69) <> 69 AND (b & 81) <> 81 END AS gone
+    FROM (SELECT image_id, w, h, pass, x + dx AS x, y + dy AS y, CAST(sum(1 << o) AS INT) & 255 AS b, bool_or(o = 8) AS self FROM th, off WHERE go GROUP BY image_id, w, h, pass, x + dx, y + dy) WHERE self)) WHERE NOT gone),
+sk AS (SELECT * FROM th WHERE NOT go)"""
+
+
+@query(f"WITH RECURSIVE {R_SQL}, {_thin_sql('r < 130')} SELECT image_id, count(*) AS n, CAST(sum(w * y + x) AS BIGINT) AS idx_sum FROM sk GROUP BY image_id")
 def thin_full(spark, sf_dir):
     return _marked(spark, sf_dir, lambda rgb: L.thin(rgb[..., 0] < 130))
 
@@ -515,6 +526,19 @@ def skeleton_lines(spark, sf_dir):
     return per_picture(pictures(spark, sf_dir), work, "image_id long, line_id int, closed boolean, points int, length double")
 
 
+@query(f"""WITH RECURSIVE {R_SQL}, {_thin_sql(DARK)}, deg AS (SELECT a.image_id, a.x, a.y, count(*) AS d, sum(sqrt(dx * dx + dy * dy)) AS len FROM (SELECT sk.*, dx, dy, x + dx AS nx, y + dy AS ny FROM sk, off WHERE o < 8) a
+  JOIN sk b ON b.image_id = a.image_id AND b.x = a.nx AND b.y = a.ny GROUP BY ALL)
+SELECT image_id, CAST(sum(CASE WHEN d <> 2 THEN d ELSE 0 END) // 2 AS BIGINT) AS open_lines, round(sum(len) / 2, 6) AS total_length FROM deg GROUP BY image_id""")
+def skeleton_totals(spark, sf_dir):
+    """How many open centre lines a picture's outline has, and how long all of its lines are."""
+
+    def work(image_id, rgb):
+        found = L.centre_lines(L.thin(rgb[..., 0] == 12))
+        yield image_id, sum(not closed for _, closed in found), sum(L.length(points) for points, _ in found)
+
+    return per_picture(pictures(spark, sf_dir), work, "image_id long, open_lines long, total_length double").withColumn("total_length", r6("total_length"))
+
+
 @query()
 def contours(spark, sf_dir):
     def work(image_id, rgb):
@@ -524,6 +548,22 @@ def contours(spark, sf_dir):
     return per_picture(pictures(spark, sf_dir), work, "image_id long, shape_id int, points int, holes int, area double")
 
 
+@query(f"""WITH RECURSIVE {R_SQL}, {comp_sql('dk', 'r < 130', 'px', 1)}, {comp_sql('zc', 'NOT (r < 130)', 'px')},
+shp AS (SELECT image_id, comp FROM dk GROUP BY ALL HAVING count(*) > greatest(max(x) - min(x), max(y) - min(y)) + 1), hol AS (SELECT image_id, comp FROM zc GROUP BY ALL HAVING NOT bool_or{BORDER}),
+two AS (SELECT image_id, y, x, (r < 130)::INT AS m, lead((r < 130)::INT) OVER (PARTITION BY image_id, y ORDER BY x) AS e FROM px), four AS (SELECT image_id, m + e + lead(m + e) OVER (PARTITION BY image_id, x ORDER BY y) AS c FROM two),
+area AS (SELECT image_id, count(*) FILTER (WHERE c = 4) + count(*) FILTER (WHERE c = 3) / 2.0::DOUBLE AS area FROM four GROUP BY image_id)
+SELECT image_id, (SELECT count(*) FROM shp WHERE shp.image_id = area.image_id) AS shapes, (SELECT count(*) FROM hol WHERE hol.image_id = area.image_id) AS holes, area FROM area""")
+def contour_totals(spark, sf_dir):
+    """Shapes and holes of a picture's dark part, and the area between them: unit cells with four corners inside, and half of those with three."""
+
+    def work(image_id, rgb):
+        found = L.outlines(rgb[..., 0] < 130)
+        holes = [h for s in found for h in s["holes"]]
+        yield image_id, len(found), len(holes), sum(L.area(s["outer"]) for s in found) - sum(map(L.area, holes))
+
+    return per_picture(pictures(spark, sf_dir), work, "image_id long, shapes long, holes long, area double")
+
+
 POLY_SQL = "pt AS (SELECT vec_id, CAST(i AS INT) AS i, CAST(i AS DOUBLE) AS x, embedding[i + 1]::DOUBLE * 100 AS y, len(embedding) AS n FROM embeddings, range(64) r(i))"
 
 

@@ -105,6 +105,18 @@ def test_outlines_are_as_many_as_8_connected_parts(mask):
     assert len(lines.outlines(mask, least=1)) == parts
 
 
+@given(small_masks)
+@settings(max_examples=100, deadline=None)
+def test_outlines_enclose_the_cells_of_the_mask(mask):
+    """The area between outer borders and holes is that of unit cells with all corners in the mask, and half of those with three."""
+    found = lines.outlines(mask, least=1)
+    cells = mask[:-1, :-1].astype(int) + mask[1:, :-1] + mask[:-1, 1:] + mask[1:, 1:]
+    net = sum(lines.area(s["outer"]) - sum(map(lines.area, s["holes"])) for s in found)
+    assert net == (cells == 4).sum() + (cells == 3).sum() / 2
+    wide = np.pad(mask, 1)
+    assert sum(len(s["holes"]) for s in found) == len(masks.regions(wide == 0).first) - 1
+
+
 @given(small_masks, st.integers(0, 3))
 @settings(max_examples=60, deadline=None)
 def test_opening_lies_within_and_is_idempotent(mask, radius):
