@@ -13,7 +13,7 @@ from .kernels import WordHasher, fmix
 #: Words of a window whose least gear value is a cut, bits that the gear shifts at each word.
 WINDOW, SHIFT = 16, 22
 #: Least words of whole repeated chunks, numbers of words beside them that are compared too, and least words of a repeat with these.
-LEAST, BESIDE, REPEAT = 16, (4, 8, 12, 16), 45
+LEAST, BESIDE, REPEAT = 16, (5, 10, 15), 43
 
 
 def chunk_bounds(hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +46,7 @@ def chunks(docs: DataFrame, places: bool) -> DataFrame:
     """The chunks of every whole text of docs (doc_id, text): (doc_id, a, b), a and b the 128-bit digest.
 
     With places also body (digest of all words of the text), word and words (first word and
-    number of words), byte and bytes (the same in the UTF-8 text), and l4, r4, ... (digests of as many words
+    number of words), byte and bytes (the same in the UTF-8 text), and l5, r5, ... (32-bit digests of as many words
     before and after the chunk, 0 where the text has fewer).
     """
     beside = [f"{side}{k}" for side in "lr" for k in BESIDE]
@@ -71,7 +71,7 @@ def chunks(docs: DataFrame, places: bool) -> DataFrame:
                     digests.append(fmix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64)).view(np.int64))
                     of_text = np.cumsum(counts) - counts
                     body = fmix((sums[of_text + counts] - sums[of_text]) * inverse[of_text] + counts.astype(np.uint64)).view(np.int64)
-                digest = lambda a, b: fmix((sums[b] - sums[a]) * inverse[a]).view(np.int64)  # noqa: B023, E731
+                digest = lambda a, b: (fmix((sums[b] - sums[a]) * inverse[a]) >> np.uint64(32)).astype(np.uint32).view(np.int32)  # noqa: B023, E731
                 text = owner[first]
                 columns = {"doc_id": ids.take(pa.array(first_text + text)), "a": digests[0], "b": digests[1]}
                 if places:
@@ -83,21 +83,23 @@ def chunks(docs: DataFrame, places: bool) -> DataFrame:
                     columns = {c: columns[c] for c in ("doc_id", "a", "b", "body", "word", "words", "byte", "bytes", *beside)}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(cut, "doc_id long, a long, b long" + (", body long, word int, words int, byte long, bytes long, " + ", ".join(f"{c} long" for c in beside) if places else ""))
+    return docs.mapInArrow(cut, "doc_id long, a long, b long" + (", body long, word int, words int, byte long, bytes long, " + ", ".join(f"{c} int" for c in beside) if places else ""))
 
 
 def _long_enough(spans: DataFrame, found: DataFrame, repeat: int) -> DataFrame:
     """Spans whose whole chunks, with the words beside them that another document has there too, are at least so many words.
 
-    Only the chunks of shorter spans are looked up, by map-side combined counts of documents. Each of a span's chunks may
+    Only the chunks of shorter spans are looked up, by map-side combined counts of documents; their tables are written
+    first, so that small ones are known to be small and the chunks need no further shuffle. Each of a span's chunks may
     tell how far the run reaches: one at its end may be a chance match of few words.
     """
     span = ["doc_id", "body", "first_word"]
-    weak = spans.where(F.col("n_words") < repeat).select(*span, "n_words")
+    weak = materialise(spans.where(F.col("n_words") < repeat).select(*span, "n_words"))
     beside = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.lit(k).alias("k"), F.col(f"{side}{k}").alias("digest")) for side in "lr" for k in BESIDE])).alias("n")
     inside = found.join(weak, ["doc_id", "body"]).where("word >= first_word and word < first_word + n_words")
     asked = materialise(inside.select(*span, "word", "words", "a", "b", beside).select(*span, "word", "words", "a", "b", "n.*").where("digest <> 0").distinct())
-    seen = found.join(asked.select("a", "b").distinct(), ["a", "b"], "left_semi").select("doc_id", "a", "b", beside).select("doc_id", "a", "b", "n.*").where("digest <> 0")
+    ends = materialise(asked.select("a", "b").distinct())
+    seen = found.join(ends, ["a", "b"], "left_semi").select("doc_id", "a", "b", beside).select("doc_id", "a", "b", "n.*").where("digest <> 0")
     key = ["a", "b", "side", "k", "digest"]
     both = materialise(seen.groupBy(*key).agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).where("one <> other").select(*key))
     low, high = F.min(F.when(F.col("side") == "l", F.col("word") - F.col("k"))), F.max(F.when(F.col("side") == "r", F.col("word") + F.col("words") + F.col("k")))
@@ -115,10 +117,10 @@ def repeated_spans(docs: DataFrame, *, least_words: int = LEAST, repeat: int = R
     the least document with one of the span's chunks; kept, whether all of its chunks are here
     first; cuts, the (first_byte, n_bytes) of its runs of chunks that another document has first,
     which may be shorter than least_words. What is in no cut stays, so each chunk stays in its first document. Words are compared with A-Z lowered and white space ignored. Neighbouring repeated chunks
-    are joined; spans under least_words are dropped, and those that with 4, 8, 12 or 16 repeated words beside each end
+    are joined; spans under least_words are dropped, and those that with 5, 10 or 15 repeated words beside each end
     have fewer than repeat. A shared passage of at least 2 * WINDOW + 3 words contains a whole chunk; one of
-    over 50 words at least LEAST words of them, and counts at least 45 (three words at each end may not count), so
-    all such passages are found; a shared run of fewer than 45 words is not.
+    over 50 words at least LEAST words of them, and counts at least 43 (four words at each end may not count), so
+    all such passages are found; a shared run of fewer than 43 words is not.
 
     First the digests that at least two doc_ids have are found: counts combine before the shuffle,
     so a very common passage costs a row of each task. Then the chunks are cut again, now with their
