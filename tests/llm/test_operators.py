@@ -438,8 +438,8 @@ def test_repeated_passages_are_found_and_others_left(spark, docs, empty):
     short = {}
     for i, t in texts.items():
         w = words(t)
-        for j in range(len(w) - 44):
-            short.setdefault(tuple(w[j : j + 45]), set()).add(i)
+        for j in range(len(w) - 42):
+            short.setdefault(tuple(w[j : j + 43]), set()).add(i)
     assert ids <= set().union(*(d for d in short.values() if len(d) > 1))
     for r in found.collect():
         part = texts[r.doc_id].encode()[r.first_byte : r.first_byte + r.n_bytes].decode()
@@ -451,7 +451,7 @@ def test_repeated_passages_are_found_and_others_left(spark, docs, empty):
     del rng
 
 
-def test_passages_over_50_words_are_found_and_those_under_45_left(spark):
+def test_passages_over_50_words_are_found_and_those_under_43_left(spark):
     """Passages of each length from 20 to 70 words, at the start, in the middle and at the end of two documents each."""
     rng, rows, want = random.Random(19), [], {}
     for n in [*range(20, 71)] * 2:
@@ -462,7 +462,7 @@ def test_passages_over_50_words_are_found_and_those_under_45_left(spark):
                 rows.append((len(rows), " ".join(prose(rng, before) + passage + prose(rng, after))))
     found = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     ids = {r.doc_id for r in found}
-    assert all(n <= 50 or i in ids for i, n in want.items()) and all(want[i] >= 45 for i in ids)
+    assert all(n <= 50 or i in ids for i, n in want.items()) and all(want[i] >= 43 for i in ids)
     assert all(16 <= r.n_words <= want[r.doc_id] for r in found)
 
 
