@@ -132,7 +132,8 @@ def repeated_spans(docs: DataFrame, *, least_words: int = LEAST, repeat: int = R
     shared = materialise(chunks(rows, False).groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("a", "b", "first"))
     found = materialise(chunks(rows, True).join(shared.hint("merge"), ["a", "b"]))
     order = Window.partitionBy("doc_id", "body").orderBy("word")
-    once = found.dropDuplicates(["doc_id", "body", "word"])
+    # A document's chunks meet once, for their duplicates and for the windows over them.
+    once = found.select("doc_id", "body", "word", "words", "byte", "bytes", "first").repartition("doc_id", "body").dropDuplicates(["doc_id", "body", "word"])
     gap = F.coalesce(F.lag(F.col("word") + F.col("words")).over(order) != F.col("word"), F.lit(True)).cast("int")
     own = F.col("first") == F.col("doc_id")
     turn = F.greatest(gap, (own != F.lag(own).over(order)).cast("int"))
