@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import color as C
@@ -16,7 +16,6 @@ from .kernels import masks as M
 from .kernels import prepare as P
 from .kernels import white as W
 from .kernels.color import lab as lab_of
-from .kernels.color import saturation
 from .kernels.filters import bilateral, median3 as median_of, resized
 from .operators import segment as G
 from .operators import svg as V
@@ -669,6 +668,14 @@ def svg_attributes(spark, sf_dir):
     return V.assemble_svg(items, sizes, False).select("image_id", F.sha2("svg", 256).alias("svg_sha256"))
 
 
+@query()
+def svg_png(spark, sf_dir):
+    """Layers drawn at twice their size: bytes of the file and its digest."""
+    items = _items(spark, sf_dir)
+    sizes = items.select("image_id").distinct().select("image_id", F.lit(48).alias("w"), F.lit(48).alias("h"))
+    return V.render_png(items, sizes).select("image_id", F.length("png").alias("n_bytes"), F.sha2("png", 256).alias("png_sha256"))
+
+
 @query(f"WITH {ITEM_SQL}, v AS (SELECT 'all' AS view, * FROM items UNION ALL SELECT 'outline', * FROM items WHERE layer = 'outline' UNION ALL SELECT 'colors', * FROM items WHERE mode = 'fill' UNION ALL SELECT 'small', * FROM items) SELECT view, layer, count(*) AS n FROM v GROUP BY view, layer")
 def view_filter(spark, sf_dir):
     items = _items(spark, sf_dir)

@@ -10,8 +10,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color, names, scalars
-from rasterloom.kernels import clusters, filters, lines, masks, prepare, white
+from rasterloom.kernels import clusters, filters, lines, masks, prepare, render, white
 from rasterloom.kernels.color import lab as lab_of
+from rasterloom.operators import svg
 from rasterloom.operators.order import with_position
 from rasterloom.operators.pictures import per_picture, pixels
 from rasterloom.plans.options import PRESETS, Options, build_options, preset_table, resolve
@@ -276,6 +277,42 @@ def test_boxes_of_paths():
         assert lines.path_box(path) == pytest.approx((*on.min(axis=0), *on.max(axis=0)), abs=1e-3)
 
 
+def test_fills_and_strokes_against_plain_loops():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        rings = [rng.uniform(-3, 15, (rng.integers(3, 7), 2)) for _ in range(2)]
+        got = render.fill_mask([(r, True) for r in rings], 12, 10)
+        lines_ = [(rng.uniform(0, 12, (3, 2)), bool(rng.integers(2)))]
+        drawn = render.stroke_mask(lines_, 2.5, 12, 10)
+        for y in range(12):
+            for x in range(10):
+                p, inside, near = np.array([x + 0.5, y + 0.5]), False, np.inf
+                for ring in rings:
+                    for a, b in zip(ring, np.roll(ring, -1, axis=0)):
+                        if (a[1] <= p[1]) != (b[1] <= p[1]) and a[0] + (p[1] - a[1]) / (b[1] - a[1]) * (b[0] - a[0]) <= p[0]:
+                            inside = not inside
+                for points, closed in lines_:
+                    for a, b in list(zip(points, points[1:])) + [(points[-1], points[0])] * closed:
+                        t = np.clip((p - a) @ (b - a) / ((b - a) @ (b - a)), 0, 1)
+                        near = min(near, np.hypot(*(p - a - t * (b - a))))
+                assert got[y, x] == inside and drawn[y, x] == (near <= 1.25)
+
+
+def test_a_drawn_picture_is_read_back_by_another_reader(spark, tmp_path):
+    square, hole = "M 1,1 L 7,1 L 7,5 L 1,5 Z", "M 3,2 L 5,2 L 5,4 L 3,4 Z"
+    rows = [(1, "outline", 0, "stroke", "#000000", 1.0, None, "M 0,0 L 8,0"), (1, "shadow", 0, "fill", "#ff0000", None, 0.5, "M 0,0 L 8,0 L 8,6 L 0,6 Z"), (1, "base-colors", 0, "fill", "#0000ff", None, None, f"{square} {hole}"), (1, "base-colors", 1, "fill", "#ffffff", None, None, "")]
+    items = spark.createDataFrame(rows, "image_id long, layer string, ord int, mode string, color string, stroke_width double, opacity double, d string")
+    sizes = spark.createDataFrame([(1, 8, 6), (2, 3, 3)], "image_id long, w int, h int")
+    made = {r.image_id: bytes(r.png) for r in svg.render_png(items, sizes).collect()}
+    rgba = render.render([r[3:] for r in (rows[1], rows[2], rows[0])], 8, 6)
+    assert rgba[6, 8].tolist() == [255, 0, 0, 128] and rgba[3, 3].tolist() == [0, 0, 255, 255] and rgba[0, 5].tolist() == [0, 0, 0, 255]
+    for k, data in made.items():
+        (tmp_path / f"{k}.png").write_bytes(data)
+    found, bad = images.read_images(spark, str(tmp_path))
+    got = {r.image_id: np.frombuffer(r.rgb, np.uint8).reshape(r.h, r.w, 3) for r in found.collect()}
+    assert (got[0] == rgba[..., :3]).all() and got[1].shape == (6, 6, 3) and bad.count() == 0
+
+
 def test_area_means_and_cubic_weights():
     rgb = np.arange(4 * 6 * 3, dtype=np.uint8).reshape(4, 6, 3) * 3
     want = rgb.reshape(2, 2, 3, 2, 3).astype(float).mean(axis=(1, 3))
