@@ -21,3 +21,17 @@ def test_small_fragments_of_odd_rows(spark):
     found = svg.small_fragments(items)
     assert found.columns == ["image_id", "layer", "ord", "area", "cutoff"]
     assert sorted(map(tuple, found.collect())) == [(2, "logo", 1, 7, 7), (4, "logo", 0, 1, 2), (4, "logo", 1, 2, 2)]
+
+
+def test_layer_stats_join_nothing(spark, data_dir):
+    assert "Join" not in plan(queries.layer_stats(spark, data_dir))
+
+
+def test_layer_stats_of_odd_rows(spark):
+    rows = [(1, "logo", "M 0,0 L 1,2"), (1, "logo", None), (1, "other", "M 0,0"), (1, None, "M 0,0"), (2, "logo", "M 0,0"), (None, "logo", "M 0,0")]
+    items = spark.createDataFrame(rows, "image_id long, layer string, d string")
+    found = svg.layer_stats(items, spark.createDataFrame([(1,), (1,), (3,), (None,)], "image_id long"))
+    assert found.dtypes == [("image_id", "bigint"), ("layer", "string"), ("paths", "bigint"), ("anchors", "bigint")]
+    got = {(r.image_id, r.layer): (r.paths, r.anchors) for r in found.collect()}
+    assert got == {(i, layer): (2, 2) if i == 1 and layer in ("logo", None) else (0, 0) for i in (1, 3, None) for layer in (*svg.LAYERS, None)}
+    assert found.count() == 27
