@@ -14,6 +14,8 @@ from .kernels import WordHasher, fmix
 WINDOW, SHIFT = 16, 22
 #: Least words of whole repeated chunks, numbers of words beside them that are compared too, and least words of a repeat with these.
 LEAST, BESIDE, REPEAT = 16, (5, 10, 15), 43
+#: Places of a chunk as high and low halves of a long; a text has under 2^31 bytes.
+PLACES = (("word", "words"), ("byte", "bytes"), *((f"l{k}", f"r{k}") for k in BESIDE))
 
 
 def chunk_bounds(hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +51,11 @@ def chunks(docs: DataFrame, places: bool) -> DataFrame:
     number of words), byte and bytes (the same in the UTF-8 text), and l5, r5, ... (32-bit digests of as many words
     before and after the chunk, 0 where the text has fewer).
     """
-    beside = [f"{side}{k}" for side in "lr" for k in BESIDE]
+    return _unpacked(_packed(docs, True)) if places else _packed(docs, False)
+
+
+def _packed(docs: DataFrame, places: bool) -> DataFrame:
+    """chunks, the places two by two in longs (see PLACES), which shuffle in fewer bytes than columns of their own."""
 
     def cut(batches):
         hasher = WordHasher()
@@ -75,15 +81,24 @@ def chunks(docs: DataFrame, places: bool) -> DataFrame:
                 text = owner[first]
                 columns = {"doc_id": ids.take(pa.array(first_text + text)), "a": digests[0], "b": digests[1]}
                 if places:
-                    columns |= {"body": body[text], "word": (first - of_text[text]).astype(np.int32), "words": (end - first).astype(np.int32), "byte": starts[first], "bytes": ends[end - 1] - starts[first]}
+                    columns |= {"body": body[text], "word": first - of_text[text], "words": end - first, "byte": starts[first], "bytes": ends[end - 1] - starts[first]}
                     low, high = of_text[text], of_text[text] + counts[text]
                     for k in BESIDE:
                         columns[f"l{k}"] = np.where(first - k >= low, digest(np.maximum(first - k, 0), first), 0)
                         columns[f"r{k}"] = np.where(end + k <= high, digest(end, np.minimum(end + k, len(h))), 0)
-                    columns = {c: columns[c] for c in ("doc_id", "a", "b", "body", "word", "words", "byte", "bytes", *beside)}
+                    pair = lambda high, low: (columns[high].astype(np.int64) << 32) | (columns[low].astype(np.int64) & 0xFFFFFFFF)  # noqa: B023, E731
+                    columns = {c: columns[c] for c in ("doc_id", "a", "b", "body")} | {f"{h}_{w}": pair(h, w) for h, w in PLACES}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(cut, "doc_id long, a long, b long" + (", body long, word int, words int, byte long, bytes long, " + ", ".join(f"{c} int" for c in beside) if places else ""))
+    return docs.mapInArrow(cut, "doc_id long, a long, b long" + (", body long, " + ", ".join(f"{h}_{w} long" for h, w in PLACES) if places else ""))
+
+
+def _unpacked(packed: DataFrame) -> DataFrame:
+    """chunks with places, each place in a column of its own."""
+    half = lambda c, high: F.shiftright(c if high else F.shiftleft(c, 32), 32)
+    kind = lambda c: "long" if c in ("byte", "bytes") else "int"
+    places = {c: half(f"{h}_{w}", c == h).cast(kind(c)) for h, w in PLACES for c in (h, w)}
+    return packed.withColumns(places).drop(*(f"{h}_{w}" for h, w in PLACES))
 
 
 def _long_enough(spans: DataFrame, found: DataFrame, repeat: int) -> DataFrame:
@@ -130,7 +145,7 @@ def repeated_spans(docs: DataFrame, *, least_words: int = LEAST, repeat: int = R
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     shared = materialise(chunks(rows, False).groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("a", "b", "first"))
-    found = materialise(chunks(rows, True).join(shared.hint("merge"), ["a", "b"]))
+    found = materialise(_unpacked(_packed(rows, True).join(shared.hint("merge"), ["a", "b"])))
     order = Window.partitionBy("doc_id", "body").orderBy("word")
     once = found.dropDuplicates(["doc_id", "body", "word"])
     gap = F.coalesce(F.lag(F.col("word") + F.col("words")).over(order) != F.col("word"), F.lit(True)).cast("int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rasterloom import queries
+from rasterloom.llm import substring_dedup
 from rasterloom.operators import svg
 
 
@@ -35,3 +36,19 @@ def test_layer_stats_of_odd_rows(spark):
     got = {(r.image_id, r.layer): (r.paths, r.anchors) for r in found.collect()}
     assert got == {(i, layer): (2, 2) if i == 1 and layer in ("logo", None) else (0, 0) for i in (1, 3, None) for layer in (*svg.LAYERS, None)}
     assert found.count() == 27
+
+
+def test_places_of_chunks_shuffle_in_halves_of_longs(spark):
+    text = "é " + " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " x")], "doc_id long, text string")
+    packed = substring_dedup._packed(docs, True)
+    assert len(packed.columns) == 4 + len(substring_dedup.PLACES) and {kind for _, kind in packed.dtypes} == {"bigint"}
+    rows = sorted(substring_dedup.chunks(docs, True).where("doc_id = 1").collect(), key=lambda r: r.word)
+    words, data = text.split(), text.encode()
+    at = 0
+    for r in rows:
+        assert r.word == at and data[r.byte : r.byte + r.bytes].decode() == " ".join(words[at : at + r.words])
+        at += r.words
+        for k in substring_dedup.BESIDE:
+            assert (r[f"l{k}"] != 0) == (r.word >= k) and (r[f"r{k}"] != 0) == (at + k <= len(words))
+    assert at == len(words) and any(r.l5 < 0 for r in rows) and any(r.r5 < 0 for r in rows) and len(rows) > 3
