@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from rasterloom import queries
 from rasterloom.llm import substring_dedup
+from rasterloom.kernels import render
 from rasterloom.operators import svg
 
 
@@ -52,3 +55,25 @@ def test_places_of_chunks_shuffle_in_halves_of_longs(spark):
         for k in substring_dedup.BESIDE:
             assert (r[f"l{k}"] != 0) == (r.word >= k) and (r[f"r{k}"] != 0) == (at + k <= len(words))
     assert at == len(words) and any(r.l5 < 0 for r in rows) and any(r.r5 < 0 for r in rows) and len(rows) > 3
+
+
+def test_pictures_are_drawn_in_batches(spark, data_dir):
+    drawn = plan(queries.svg_png(spark, data_dir))
+    assert "MapInArrow" in drawn and "CoGroup" not in drawn and "Join" not in drawn
+
+
+def test_pngs_of_odd_rows(spark):
+    rows = [(1, "logo", 1, "fill", "#00ff00", None, None, "M 0,0 L 4,0 L 4,4 L 0,4 Z"), (1, "shadow", 5, "fill", "#ff0000", None, None, "M 0,0 L 4,0 L 4,4 L 0,4 Z"), (1, "logo", 0, "fill", "#0000ff", None, None, ""), (9, "logo", 0, "fill", "#0000ff", None, None, "M 0,0 L 4,4")]
+    items = spark.createDataFrame(rows, "image_id long, layer string, ord int, mode string, color string, stroke_width double, opacity double, d string")
+    made = {r.image_id: bytes(r.png) for r in svg.render_png(items, spark.createDataFrame([(1, 4, 4), (2, 4, 4)], "image_id long, w int, h int"), 1.0).collect()}
+    painted = np.zeros((4, 4, 4), np.uint8)
+    painted[:] = (0, 255, 0, 255)
+    assert made == {1: render.png(painted), 2: render.png(np.zeros((4, 4, 4), np.uint8))}
+
+
+def test_masks_of_a_window_are_cut_from_the_whole():
+    rng = np.random.default_rng(5)
+    for k in range(60):
+        parts = [(rng.normal(15, 12, (int(rng.integers(1, 6)), 2)).round(k % 3), bool(k & 1)) for _ in range(2)]
+        for mask in (render.fill_mask, lambda p, *window: render.stroke_mask(p, 1.0 + k % 7, *window)):
+            assert np.array_equal(mask(parts, 11, 9, 6, 8), mask(parts, 30, 30)[6:17, 8:17])
