@@ -6,7 +6,7 @@ import numpy as np
 
 from rasterloom import queries
 from rasterloom.llm import substring_dedup
-from rasterloom.kernels import render
+from rasterloom.kernels import clusters, masks, render
 from rasterloom.operators import svg
 
 
@@ -77,3 +77,15 @@ def test_masks_of_a_window_are_cut_from_the_whole():
         parts = [(rng.normal(15, 12, (int(rng.integers(1, 6)), 2)).round(k % 3), bool(k & 1)) for _ in range(2)]
         for mask in (render.fill_mask, lambda p, *window: render.stroke_mask(p, 1.0 + k % 7, *window)):
             assert np.array_equal(mask(parts, 11, 9, 6, 8), mask(parts, 30, 30)[6:17, 8:17])
+
+
+def test_merging_looks_only_at_labels_with_small_regions(monkeypatch):
+    looked = []
+    monkeypatch.setattr(clusters, "regions", lambda values: looked.append(1) or masks.regions(values))
+    labels = np.repeat(np.arange(12), 40)[:, None] * np.ones(40, int)
+    labels[5, 5] = 7
+    centers = np.arange(12)[:, None] * np.ones(3)
+    merged = clusters.merge_small(labels, centers, 0.0)
+    labels[5, 5] = 0
+    # Each pass looks at all labels at once, the first also at 7, which has a small region, and at 0, into which it is folded.
+    assert np.array_equal(merged, np.repeat(np.arange(12), 40)[:, None] * np.ones(40, int)) and len(looked) <= 4
