@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from rasterloom import queries
 from rasterloom.llm import substring_dedup
-from rasterloom.kernels import clusters, masks, render
+from rasterloom.functions.scalars import scaled_side
+from rasterloom.kernels import clusters, lines, masks, render
 from rasterloom.operators import svg
+from rasterloom.plans.options import build_options
+from rasterloom.plans.vectorize import vectorize, vectorize_layers
+from rasterloom.sources.fixtures import pictures
 
 
 def plan(df) -> str:
@@ -89,3 +94,50 @@ def test_merging_looks_only_at_labels_with_small_regions(monkeypatch):
     labels[5, 5] = 0
     # Each pass looks at all labels at once, the first also at 7, which has a small region, and at 0, into which it is folded.
     assert np.array_equal(merged, np.repeat(np.arange(12), 40)[:, None] * np.ones(40, int)) and len(looked) <= 4
+
+
+def test_the_conversion_keeps_a_picture_in_its_row(spark, data_dir):
+    drawn = plan(queries.vectorize_svg(spark, data_dir))
+    assert not any(word in drawn for word in ("Join", "Aggregate", "Window", "Sort")) and drawn.count("Repartition") == 1
+
+
+def test_svgs_in_rows_are_those_of_the_items(spark, data_dir):
+    few, blank = pictures(spark, data_dir).limit(12), spark.createDataFrame([(-1, 5, 4, bytearray(60))], "image_id long, w int, h int, rgb binary")
+    few = few.unionByName(blank)
+    sizes = few.select("image_id", *(scaled_side(F.col(c), F.col("w"), F.col("h"), F.lit(None).cast("double")).alias(c) for c in "wh"))
+    for css in (True, False):
+        options = build_options("illustration", use_css_classes=css)
+        got = {r.image_id: r.svg for r in vectorize(few, options).collect()}
+        assert len(got) == 13 and got == {r.image_id: r.svg for r in svg.assemble_svg(vectorize_layers(few, options), sizes, css).collect()}
+
+
+def test_outlines_of_all_labels_are_those_of_each():
+    rng = np.random.default_rng(3)
+    for k in range(40):
+        labels = rng.integers(-1, 1 + k % 5, rng.integers(1, 20, 2)).repeat(1 + k % 3, 0).repeat(1 + k % 2, 1)
+        found = lines.label_outlines(labels, 1 + k % 3)
+        assert {c: found.get(c, []) for c in range(6)} == {c: lines.outlines(labels == c, 1 + k % 3) for c in range(6)}
+
+
+def test_clusters_of_distinct_colours_are_those_of_all_points():
+    rng = np.random.default_rng(4)
+    for k in range(20):
+        colors, which = rng.random((1 + 3 * k, 3)).astype(np.float32), rng.integers(0, 1 + 3 * k, 500)
+        for got, want in zip(clusters.kmeans(colors, 6, cap=400, which=which), clusters.kmeans(colors[which], 6, cap=400)):
+            assert np.array_equal(got, want)
+
+
+def test_merging_finds_regions_once(monkeypatch):
+    looked = []
+    monkeypatch.setattr(clusters, "regions", lambda values: looked.append(1) or masks.regions(values))
+    labels = np.random.default_rng(2).integers(0, 5, (40, 40)).repeat(2, 0)
+    merged = clusters.merge_small(labels, np.arange(5)[:, None] * np.ones(3), 0.0)
+    assert len(looked) == 1 and (masks.regions(merged).n >= 24).mean() > (masks.regions(labels).n >= 24).mean()
+
+
+def test_curves_between_parallel_tangents_stay_near():
+    """A three-point stretch whose tangents are parallel has no single best curve; any that is taken stays within the error."""
+    for points in ([(0, 0), (1, 2), (2, 4)], [(42, 15), (43, 19), (44, 30), (45, 41)], [(0, 0), (3, 0), (6, 0), (6, 0), (9, 0)]):
+        curves = lines.fit_curves(points, 1.0)
+        on = np.concatenate([lines._bezier(c, np.linspace(0, 1, 400)) for c in curves])
+        assert all(np.hypot(*(on - p).T).min() < 1 for p in points)
